@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm import mixing, token_files
+from folium.llm import decontaminate, mixing, outliers, secrets, token_files
 from folium.llm.shared import shared_folder, table
 
 #: The id that ends a document, and the tokenizer's file.
@@ -26,6 +26,10 @@ def token_ids(docs: DataFrame) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -57,8 +61,33 @@ SELECT doc_id, size, source_size, target, epochs + (rest - before >= size / 2.0)
        ((epochs + (rest - before >= size / 2.0)::BIGINT) * size)::BIGINT AS taken
 FROM k"""
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op8_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents"))
+
+
+#: Every window of every item against every place of its length, and the words under them counted once.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT item_id, least(10, len(w)) AS k, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM v),
+p AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k),
+h AS (SELECT p.doc_id, p.i, p.k, q.item_id FROM p JOIN q ON q.k = p.k AND q.win = array_to_string(p.w[p.i:p.i + p.k - 1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM h) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(s.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(s.ids, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_ids": op3_token_ids,
     "op4_mixing": op4_mixing,
+    "op5_secrets": op5_secrets,
+    "op8_outliers": op8_outliers,
 }
-SQL: dict[str, str] = {"op4_mixing": OP4_SQL}
+SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_mixing": OP4_SQL}
