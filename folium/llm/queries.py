@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folium.llm import decontaminate, mixing, outliers, secrets, token_files
+from folium.llm import decontaminate, html_text, jaccard_join, language_id, mixing, outliers, pseudonyms, secrets, token_files, toxicity
 from folium.llm.shared import shared_folder, table
 
 #: The id that ends a document, and the tokenizer's file.
@@ -26,6 +27,16 @@ def token_ids(docs: DataFrame) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def fold(parts: int) -> Column:
+    """crc32 of the id as text, modulo parts."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"), usable=fold(4) != 2)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -65,10 +76,27 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=fold(5) != 0)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key="a key for tests; production takes its own")
+
+
 #: Every window of every item against every place of its length, and the words under them counted once.
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -84,10 +112,15 @@ SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(c.n, 0)::BIG
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_ids": op3_token_ids,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
+    "op6_html_text": op6_html_text,
+    "op7_toxicity": op7_toxicity,
     "op8_outliers": op8_outliers,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_mixing": OP4_SQL}
