@@ -172,7 +172,7 @@ def training_rows(docs: DataFrame, usable: Column, seed: int) -> list:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
     picked = rows.filter(F.col("lang").isin(often)).select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= DOCS)
     ids = [r[0] for r in picked.select("doc_id").collect()]  # at most LANGUAGES * DOCS
-    return sorted((r[1], r[0]) for r in rows.filter(F.col("doc_id").isin(ids)).select("text", "lang").collect())
+    return sorted((r[0], r[1]) for r in rows.filter(F.col("doc_id").isin(ids)).select("text", "lang").collect())
 
 
 def fitted(docs: DataFrame, usable: Column, seed: int = 1) -> Model:

@@ -19,19 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.shared import small
-from folium.llm.wordbytes import NO_LETTER, Words, chunks, hashes
+from folium.llm.wordbytes import NO_LETTER, Words, chunks, hashes, mix
 
 #: Learning takes at most so many labelled texts of each kind, by a hash of the id.
 TEXTS = 2_000
-#: A word or beginning is learned if at least so many toxic texts have it, and it is so much likelier there.
-SUPPORT, LOG_ODDS = 3, 2.5
+#: A word or beginning is learned if the lower end of the 90 % interval of its log odds to be in a toxic text is above this.
+LOG_ODDS, WORDS_OF = 2.0, 6
 BEGINNINGS = (4, 5, 6, 7)
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DENIED, QUOTED, AIMED = range(9)
 SYMBOLS = 9
 #: What a word of each symbol adds to its clause, times the word's own weight for insults.
 WEIGHT = np.array([0, 1.0, 1.0, 0, 0, 0, 0.3, 0.4, 1.5], np.float32)
 FIXED = {
-    THREAT: "kill murder destroy hurt stab shoot beat burn die tuer tuez tuerai mort meurs töten töte umbringen sterben stirb matar mataré muere morir",
+    THREAT: "kill murder destroy hurt stab shoot strangle tuer tuez tuerai mort meurs töten töte umbringen sterben stirb matar mataré muere morir",
     TARGET: "you your yours they them he she him her tu toi vous ton ta votre il elle ils du dich dir dein ihr euch sie er tú tu usted ustedes él ella ellos",
     NEGATION: "not no never isn't aren't without pas jamais sans nicht nie kein keine keinen ohne nunca sin tampoco",
     REPORT: "said says wrote writes quoted called claimed dit disait écrit cité sagte sagt schrieb zitiert nannte dijo dice escribió citó llamó",
@@ -158,20 +158,35 @@ def _fixed() -> dict[int, tuple[np.ndarray, None]]:
     return _FIXED
 
 
-def _learn(keys: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that mark toxic texts, by in how many texts of either kind they are."""
+def _learn(keys: np.ndarray, docs: np.ndarray, toxic: np.ndarray, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that mark toxic texts, by in how many texts of either kind they are. With words, keys are beginnings of them,
+    which at least WORDS_OF of the toxic texts' words must have."""
     pairs = np.unique(np.stack([keys, docs.astype(np.uint64)], 1), axis=0)
     known, at = np.unique(pairs[:, 0], return_inverse=True)
     bad = np.bincount(at, toxic[pairs[:, 1].astype(np.int64)], len(known))
     good = np.bincount(at, ~toxic[pairs[:, 1].astype(np.int64)], len(known))
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
-    take = (bad >= SUPPORT) & (odds >= LOG_ODDS) & (bad > 4 * good)
+    take = odds - 1.64 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)) >= LOG_ODDS
+    if words is not None:
+        of = np.unique(np.stack([keys, words], 1)[toxic[docs]], axis=0)[:, 0]
+        take &= np.searchsorted(of, known, side="right") - np.searchsorted(of, known) >= WORDS_OF
     return known[take], odds[take].astype(np.float32)
 
 
+def apart(texts: list[str]) -> np.ndarray:
+    """One text of each group of like ones, whose least hash of two neighbouring words is the same: else the words that
+    copies of one text share would seem to be in many texts."""
+    words = word_keys(texts)
+    h = words.hashes()
+    pair = mix(h[:-1] * np.uint64(3) + h[1:])
+    least = [pair[a : b - 1].min() if b - a > 1 else np.uint64(0) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+    return np.sort(np.unique(least, return_index=True)[1])
+
+
 def learn(texts: list[str], toxic: list[bool]) -> Grammar:
     """Lexicon and logistic function. With texts of one kind only, that kind is what every text gets."""
-    bad = np.array(toxic, bool)
+    keep = apart(texts)
+    texts, bad = [texts[k] for k in keep], np.array(toxic, bool)[keep]
     none = (np.empty(0, np.uint64), np.empty(0, np.float32))
     if not bad.any() or bad.all():
         return Grammar(none, {}, np.array([5.0 if len(bad) and bad.all() else -5.0, 0, 0]))
@@ -180,7 +195,7 @@ def learn(texts: list[str], toxic: list[bool]) -> Grammar:
     grammar = Grammar(_learn(words.hashes(), words.doc(), bad), {}, np.zeros(3))
     for size in BEGINNINGS:
         long, found = beginnings(words, every, size)
-        grammar.begin[size] = _learn(found, words.doc()[long], bad)
+        grammar.begin[size] = _learn(found, words.doc()[long], bad, words.hashes()[long])
     x = np.column_stack([np.ones(len(texts)), grammar.features(texts)])
     w, each = np.zeros(3), np.where(bad, 0.5 / bad.mean(), 0.5 / (~bad).mean())
     for _ in range(12):  # Newton's method, both kinds weighing the same
