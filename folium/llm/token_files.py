@@ -16,6 +16,7 @@ that names the shards which belong to it: a task that ran twice leaves a file th
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.llm.shared import small
+from folium.llm.wordbytes import Words, chunks, hashes
 
 MAGIC, NO_ID, BLOCK = b"FOLIOTK1", np.iinfo(np.int64).min, 4096
 #: Distinct chunks of text whose ids a worker remembers.
-REMEMBERED = 500_000
+CHUNKS = 1_500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -50,15 +52,14 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return flags @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-def shard_bytes(doc_ids: list[int | None], docs: list[np.ndarray], bits: int, block: int = BLOCK) -> bytes:
-    ids = np.concatenate([*docs, np.empty(0, np.uint32)]).astype(np.uint32)
+def shard_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
-    blocks = [pack(ids[k : k + block], bits) for k in range(0, len(ids), block)]
-    head = MAGIC + np.array([bits, block], "<u4").tobytes() + np.array([len(docs), len(ids)], "<u8").tobytes()
+    blocks = [pack(ids[k : k + block].astype(np.uint32), bits) for k in range(0, len(ids), block)]
+    head = MAGIC + np.array([bits, block], "<u4").tobytes() + np.array([len(doc_ids), len(ids)], "<u8").tobytes()
     return b"".join([
         head, np.array([NO_ID if i is None else i for i in doc_ids], "<i8").tobytes(),
-        np.cumsum([0, *map(len, docs)]).astype("<u8").tobytes(), np.cumsum([0, *map(len, blocks)]).astype("<u8").tobytes(), *blocks,
+        np.cumsum([0, *lengths]).astype("<u8").tobytes(), np.cumsum([0, *map(len, blocks)]).astype("<u8").tobytes(), *blocks,
     ])
 
 
@@ -86,26 +87,98 @@ class Shard:
         return self.ids(self.doc_start[k], self.doc_start[k + 1])
 
 
+#: Signs that are cut off the end of a chunk, if a letter or digit of ASCII stands before; the tokenizer makes them a piece of their own.
+SIGNS = np.isin(np.arange(256), list(b".,;:!?%&$*#"))
+ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+BETWEEN = np.isin(np.arange(256), list(b" \n"))
+
+
 class Encoder:
     """Encodes by the tokenizers library, once for each distinct chunk between spaces and line ends.
 
-    For tokenizers whose pieces never hold a space or a line end, so that a text's ids are its chunks' ids in a row.
+    For tokenizers that lower-case and whose pieces never hold a space or a line end, nor both letters and signs, so that
+    a text's ids are its chunks' ids in a row. Chunks are told apart by 64-bit hashes. If all last tokens of pieces are
+    marked by a suffix, many new words are encoded as one text, whose ids are then cut after those tokens.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": np.empty(0, np.uint32)}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": self.known[""]}
-        if new := list(dict.fromkeys(c for cs in chunks for c in cs if c not in self.known)):
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[c] = e.ids
-        known = self.known
-        return [np.array([i for c in cs for i in known[c]], np.uint32) for cs in chunks]
+        self.tokenizer = Tokenizer.from_file(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+        self.forget()
+
+    def forget(self) -> None:
+        """No chunks are known: their hashes in order, and where in ids their ids begin, and how many they are."""
+        self.hash, self.at, self.n, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of letters in a row, and each word's number of ids."""
+        if self.last.any() and words:
+            ids = self.encode([" ".join(words)])[0]
+            cuts = np.flatnonzero(self.last[ids]) + 1
+            if len(cuts) == len(words) and cuts[-1] == len(ids):
+                return ids, np.diff(cuts, prepend=0)
+        each = self.encode(words)
+        return np.concatenate([*each, np.empty(0, np.uint32)]), np.array([len(x) for x in each], np.int64)
+
+    def learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        words = np.array([c.isalpha() for c in chunks])
+        ids, n = np.empty(0, np.uint32), np.empty(len(chunks), np.int64)
+        by_word, n[words] = self.encode_words([c for c in chunks if c.isalpha()])
+        rest = self.encode([c for c in chunks if not c.isalpha()])
+        n[~words] = [len(x) for x in rest]
+        order = np.argsort(~words, kind="stable")
+        at = np.empty(len(chunks), np.int64)
+        at[order] = np.cumsum(n[order]) - n[order] + len(self.ids)
+        self.ids = np.concatenate([self.ids, ids, by_word, *rest])
+        self.hash, self.at, self.n = np.concatenate([self.hash, hashes]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.at, self.n = self.hash[order], self.at[order], self.n[order]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.hash):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        i = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return i, self.hash[i] == hashes
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and each text's number of ids."""
+        special = [k for k, t in enumerate(texts) if "<|" in t]  # may be special tokens, which aren't lower-cased
+        if special:
+            own, texts = self.encode([texts[k] for k in special]), [("" if "<|" in t else t) for t in texts]
+        words = Words(texts, BETWEEN)
+        core = words.end.copy()
+        for _ in range(4):
+            core -= SIGNS[words.data[core - 1]] & (core > words.start + 1)
+        core = np.where(ALNUM[words.data[core - 1]], core, words.end)
+        pieces = np.stack([words.start, core, core, words.end], 1).reshape(-1, 2)
+        some = pieces[:, 0] < pieces[:, 1]
+        doc, pieces = np.repeat(words.doc(), 2)[some], pieces[some]
+        distinct, first, inverse = np.unique(hashes(words.data, pieces[:, 0], pieces[:, 1]), return_index=True, return_inverse=True)
+        if len(self.hash) > CHUNKS:
+            self.forget()
+        if not (known := self.find(distinct)[1]).all():
+            raw, spans = words.data.tobytes(), pieces[first[~known]].tolist()
+            self.learn(distinct[~known], [raw[a:b].decode("utf-8", "surrogatepass") for a, b in spans])
+        i = self.find(distinct)[0]
+        at, n = self.at[i][inverse], self.n[i][inverse]
+        upto = np.cumsum(n)
+        ids = self.ids[np.repeat(at - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        per_doc = np.bincount(doc, n, minlength=len(texts)).astype(np.int64)
+        if special:
+            parts = np.split(ids, np.cumsum(per_doc)[:-1])
+            for k, x in zip(special, own, strict=True):
+                parts[k], per_doc[k] = x, len(x)
+            ids = np.concatenate(parts)
+        return ids, per_doc
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -128,23 +201,27 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         from pyarrow import fs
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _ENCODERS.setdefault(tokenizer, None) or _ENCODERS.__setitem__(tokenizer, Encoder(tokenizer)) or _ENCODERS[tokenizer]
-        end = np.array([] if end_id is None else [end_id], np.uint32)
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = Encoder(tokenizer)
+        encoder = _ENCODERS[tokenizer]
         doc_ids: list[int | None] = []
         packed: list[np.ndarray] = []
-        small_type = np.uint16 if bits <= 16 else np.uint32
+        lengths: list[np.ndarray] = []
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                doc_ids += part.column(0).to_pylist()
-                packed += [np.concatenate([x, end]).astype(small_type) for x in encoder([t or "" for t in part.column(1).to_pylist()])]
+            doc_ids += batch.column(0).to_pylist()
+            for _, texts in chunks(batch.column(1)):
+                ids, n = encoder(texts)
+                if end_id is not None:
+                    ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                packed.append(ids.astype(np.uint16 if bits <= 16 else np.uint32))
+                lengths.append(n)
         if not doc_ids:
             return
         name = f"shard-{uuid.uuid4().hex}.ids"
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         with store.open_output_stream(f"{path}/{name}") as out:
-            out.write(shard_bytes(doc_ids, packed, bits))
+            out.write(shard_bytes(doc_ids, np.concatenate(lengths), np.concatenate(packed), bits))
         yield pa.RecordBatch.from_pydict({"shard": [name], "first_doc": pa.array([doc_ids[0]], pa.int64()), "n_docs": [len(doc_ids)], "n_ids": [sum(map(len, packed))]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
