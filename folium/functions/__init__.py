@@ -1 +1 @@
-""""""
+"""Column expressions: paths, lines, text."""

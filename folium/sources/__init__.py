@@ -1 +1 @@
-""""""
+"""Reading corpora, logs and configurations, and writing them."""

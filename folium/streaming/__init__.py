@@ -1 +1 @@
-""""""
+"""Extension: the log as a stream."""
