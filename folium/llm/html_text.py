@@ -125,7 +125,7 @@ def features(found: list[Block]) -> np.ndarray:
     edge = Block("", 0, 0.0, False, False)
     rows = [
         (b.words, b.density, p.words, p.density, n.words, n.density, b.furniture, b.article, has)
-        for p, b, n in zip([edge, *found[:-1]], found, [*found[1:], edge], strict=True)
+        for p, b, n in zip([edge, *found][:-1], found, [*found, edge][1:], strict=True)
     ]
     return np.array(rows, np.float64).reshape(-1, len(FEATURES))
 

@@ -117,7 +117,7 @@ def _phone(value: str, key: bytes) -> str | None:
     code, rest = value[: m.end()], value[m.end() :]
     d = re.sub(r"\D", "", rest)
     n = len(d) + len(re.sub(r"\D", "", code))
-    if not 7 <= n <= 15 or not (code or n == 10 or re.search(r"[()]", rest)):
+    if not 7 <= n <= 15 or not (code or "(" in rest or re.fullmatch(r"\d{3}[\x20.-]\d{3}[\x20.-]\d{4}", rest)):
         return None
     if len(d) == 10 and d[0] > "1" and d[3] > "1":  # area and exchange don't begin with 0 or 1
         x = permute(((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:]), 800 * 800 * 10_000, key, "phone")
