@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.llm.shared import learned
 from folium.llm.wordbytes import NO_LETTER, Words, chunks, mix
 
 UNKNOWN = "und"
 #: Training takes at most so many languages (those of most documents), documents of each, and words.
-LANGUAGES, DOCS, WORDS = 64, 150, 400_000
+LANGUAGES, DOCS, WORDS = 64, 100, 400_000
 TABLE, AFFIXES = 1 << 18, (2, 3, 4)
+#: Bytes of text that are labelled at once; long texts of a chunk advance with each other.
+CHUNK = 3_000_000
 LENGTH, BATCH, EPOCHS, RATE, L2 = 64, 256, 4, 0.3, 1e-4
 
 
@@ -162,7 +165,7 @@ def label(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], np.where(known, np.clip(share.max(1), 0, 1), 0.0)
 
 
-def training_rows(docs: DataFrame, usable: Column, seed: int) -> list:
+def training_rows(docs: DataFrame, usable: Column, seed: int) -> DataFrame:
     """(text, lang) of a sample: DOCS documents for each of the LANGUAGES most frequent values of lang, by a hash of the id.
 
     Only ids are ranked; that ranking is cut to DOCS a language before rows are moved.
@@ -172,13 +175,12 @@ def training_rows(docs: DataFrame, usable: Column, seed: int) -> list:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
     picked = rows.filter(F.col("lang").isin(often)).select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= DOCS)
     ids = [r[0] for r in picked.select("doc_id").collect()]  # at most LANGUAGES * DOCS
-    return sorted((r[0], r[1]) for r in rows.filter(F.col("doc_id").isin(ids)).select("text", "lang").collect())
+    return rows.filter(F.col("doc_id").isin(ids)).select("text", "lang")
 
 
 def fitted(docs: DataFrame, usable: Column, seed: int = 1) -> Model:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = training_rows(docs, usable, seed)
-    return train([t for t, _ in rows], [x for x, _ in rows])
+    return learned(training_rows(docs, usable, seed), lambda rows: train([t for t, _ in rows], [x for _, x in rows]))
 
 
 def identify(docs: DataFrame, usable: Column, seed: int = 1) -> DataFrame:
@@ -192,7 +194,7 @@ def identify(docs: DataFrame, usable: Column, seed: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(1)):
+            for at, texts in chunks(batch.column(1), CHUNK):
                 languages, score = label(model.value, texts)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(texts)), "lang_pred": languages, "score": score.astype(np.float64)})
 
@@ -208,7 +210,7 @@ def accepted(docs: DataFrame, usable: Column, least: float = 0.5, seed: int = 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(place)):
+            for at, texts in chunks(batch.column(place), CHUNK):
                 languages, score = label(model.value, texts)
                 yield batch.slice(at, len(texts)).filter(pa.array((score >= least) & (np.array(languages) != UNKNOWN)))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once, unless one text has more.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_RADIX, -1, 2**64)
 _POWERS = {r: np.ones(1, np.uint64) for r in (_RADIX, _INVERSE)}
@@ -21,10 +21,12 @@ NO_LETTER = np.array([not (97 <= b <= 122 or b >= 128) for b in range(256)])
 
 
 def powers(radix: int, n: int) -> np.ndarray:
-    """radix**0 .. radix**(n - 1) modulo 2**64; kept, and doubled when they don't reach."""
+    """radix**0 .. radix**(n - 1) modulo 2**64; kept up to some more than a chunk."""
     known = _POWERS[radix]
     while len(known) < n:
-        known = np.concatenate([known, known * np.uint64(pow(radix, len(known), 2**64))])
+        more = known[: n - len(known)] * np.uint64(pow(radix, len(known), 2**64))
+        known = np.concatenate([known, more])
+    if len(known) > len(_POWERS[radix]) and n <= 2 * CHUNK:
         _POWERS[radix] = known
     return known[:n]
 
