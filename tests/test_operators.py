@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folium.operators import links, log, pages, ranking, search, users, versions
+from folium.plans.server import Server, token_of
 from folium.plans.store import Corpus, Tools
 from folium.sources import config, corpus, export
 from folium.sources.schemas import PAGES, VERSIONS
@@ -166,3 +167,37 @@ def test_stream(spark, tmp_path):
     q = streamed.windowed_counts(streamed.read_entries(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.operation, r.n_entries) for r in spark.table("counts").collect()] == [("x", 2)]
+
+
+def test_server(spark, tmp_path):
+    s = Server(spark, str(tmp_path / "srv"), now=lambda: T0)
+    s.init(99)
+    s.init(1)
+    ann, bob = s.add_user("ann"), s.add_user("bob")
+    assert ann["wiki_url"] == "http://0.0.0.0:99/wiki/ann" and s.list_users().count() == 2
+    with pytest.raises(ValueError):
+        s.add_user("ann")
+    assert s.authenticate(ann["token"]) == "ann" and s.authenticate("x") is None and s.authenticate(None) is None
+    s.tools(bob["token"]).write_page("a.md", "hello")
+    assert s.corpus("ann").list_pages() == ["index.md"] and s.corpus("bob").list_pages() == ["a.md", "index.md"]
+    with pytest.raises(PermissionError):
+        s.tools("x")
+    new = s.rotate_token("ann")
+    assert s.authenticate(ann["token"]) is None and s.authenticate(new) == "ann"
+    s.add_remote("ann", "gh", "url", auto_push=True)
+    assert s.list_remotes("ann") == {"gh": "url"}
+    s.remove_remote("ann", "gh")
+    assert s.list_remotes("ann") == {}
+    shown = {r.username: (r.page_count, r.last_active) for r in s.list_users().collect()}
+    assert shown == {"ann": (1, T0), "bob": (2, T0)}
+    assert zipfile.ZipFile(s.export("bob", "zip", str(tmp_path))).namelist() == ["wiki/a.md", "wiki/index.md"]
+    s.remove_user("bob")
+    assert [r.username for r in s.list_users().collect()] == ["ann"]
+    with pytest.raises(KeyError):
+        s.export("bob")
+
+
+def test_tokens_of_requests():
+    assert token_of({"Authorization": "Bearer  t "}, {"token": "u"}) == "t"
+    assert token_of({"authorization": "basic x"}, {"token": "u"}) == "u"
+    assert token_of({}, {}) is None and token_of({"AUTHORIZATION": "bearer "}, {"token": "u"}) is None
