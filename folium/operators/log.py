@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folium.functions.text import stripped, utc_text
 from folium.sources.schemas import LOG
 
+# Fixed value: how the log's page begins.
 HEAD = "# Activity Log\n\n"
 
 

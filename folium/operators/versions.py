@@ -14,8 +14,12 @@ from folium.functions import paths
 from folium.sources.schemas import VERSIONS
 
 
+# Fixed value: the message of a commit.
+MESSAGE = "wiki: {op} wiki/{path}"
+
+
 def message(op: str, path: str) -> str:
-    return f"wiki: {op} wiki/{path}"
+    return MESSAGE.format(op=op, path=path)
 
 
 def version(spark: SparkSession, wiki_id: str, path: str, content: str | None, ts: datetime.datetime, number: int, op: str = "write_page") -> DataFrame:
@@ -71,7 +75,7 @@ def line_changes(versions: DataFrame) -> DataFrame:
     return df.select("wiki_id", "path", "ts", "version", added.alias("lines_added"), removed.alias("lines_removed"))
 
 
-#: Pages of a fresh corpus.
+# The pages of a fresh corpus.
 SCAFFOLD = {
     paths.INDEX: "# Wiki Index\n\nThis is the master catalog of all pages in this wiki.\nUpdate it whenever you create or significantly modify a page.\n",
     paths.LOG: "# Activity Log\n\n",

@@ -21,6 +21,18 @@ from folium.sources.corpus import write_pages
 from folium.sources.schemas import LOG, VERSIONS
 
 
+# What clients are told.
+INDEX_UPDATED = "index.md updated successfully."
+PAGE_WRITTEN = "Page '{}' written successfully."
+PAGE_DELETED = "Page '{}' deleted successfully."
+LOG_APPENDED = "Log entry appended successfully."
+NO_PAGES, NO_MATCHES = "No pages found.", "No matches found."
+ERROR = "Error: {}"
+INFO = "Wiki root: {}\nPages: {}\nLog entries: {}"
+GUIDE_HEAD = "--- Wiki Schema & Workflow Instructions ---"
+RESULT_HEAD, RESULT_LINE = "### {}", "  Line {}: {}"
+
+
 def utc_now() -> datetime.datetime:
     return datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
 
@@ -112,7 +124,7 @@ class Tools:
         try:
             return work()
         except Exception as e:  # noqa: BLE001  a client gets every error as text
-            return f"Error: {e}"
+            return ERROR.format(e)
 
     def _done(self, work: Callable[[], None], text: str) -> str:
         return self._said(lambda: (work(), text)[1])
@@ -124,32 +136,32 @@ class Tools:
         return self._said(self.corpus.read_index)
 
     def update_index(self, content: str) -> str:
-        return self._done(lambda: self.corpus.update_index(content), "index.md updated successfully.")
+        return self._done(lambda: self.corpus.update_index(content), INDEX_UPDATED)
 
     def write_page(self, path: str, content: str) -> str:
-        return self._done(lambda: self.corpus.write_page(path, content), f"Page '{path}' written successfully.")
+        return self._done(lambda: self.corpus.write_page(path, content), PAGE_WRITTEN.format(path))
 
     def read_page(self, path: str) -> str:
         return self._said(lambda: self.corpus.read_page(path))
 
     def list_pages(self, subdirectory: str = "") -> str:
-        return self._said(lambda: "\n".join(self.corpus.list_pages(subdirectory)) or "No pages found.")
+        return self._said(lambda: "\n".join(self.corpus.list_pages(subdirectory)) or NO_PAGES)
 
     def search_wiki(self, query: str, case_sensitive: bool = False) -> str:
         return self._said(lambda: search_text(self.corpus.search_wiki(query, case_sensitive)))
 
     def append_log(self, entry: str, operation: str = "") -> str:
-        return self._done(lambda: self.corpus.append_log(entry, operation), "Log entry appended successfully.")
+        return self._done(lambda: self.corpus.append_log(entry, operation), LOG_APPENDED)
 
     def delete_page(self, path: str) -> str:
-        return self._done(lambda: self.corpus.delete_page(path), f"Page '{path}' deleted successfully.")
+        return self._done(lambda: self.corpus.delete_page(path), PAGE_DELETED.format(path))
 
 
 def info_text(info: Row) -> str:
-    head = f"Wiki root: {info.wiki_root}\nPages: {info.page_count}\nLog entries: {info.log_entries}"
-    return f"{head}\n\n--- Wiki Schema & Workflow Instructions ---\n{info.schema}" if info.schema else head
+    head = INFO.format(info.wiki_root, info.page_count, info.log_entries)
+    return f"{head}\n\n{GUIDE_HEAD}\n{info.schema}" if info.schema else head
 
 
 def search_text(found: list[Row]) -> str:
-    each = ["\n".join([f"### {r.path}", *(f"  Line {m.line_number}: {m.line}" for m in r.matches)]) for r in found]
-    return "\n".join(each) or "No matches found."
+    lines = [[RESULT_HEAD.format(r.path), *(RESULT_LINE.format(m.line_number, m.line) for m in r.matches)] for r in found]
+    return "\n".join(x for page in lines for x in page) or NO_MATCHES
