@@ -33,6 +33,10 @@ NAMES = frozenset(
     "menu menubar modal nav navbar navigation newsletter notice outbrain pagination popup promo promoted recommended related replies reply share sharing "
     "sidebar signup skip social sponsor sponsored subscribe taboola toc toolbar widget".split()
 )
+#: Beside one of these, the names of MILD say nothing: a main-content with-sidebar isn't a sidebar.
+CONTENT, MILD = frozenset("article content entry main post story".split()), frozenset("byline footer header menu sidebar toolbar widget".split())
+#: Containers whose names are of the page's layout; but for an article that is a reader's remark.
+WHOLE, REMARK = frozenset("article body main".split()), frozenset("comment reply".split())
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
@@ -56,8 +60,12 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id", "role") and not NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id", "role"):
+            said = NAMES.intersection(words := re.split(r"[^a-z]+", value))
+            if tag in WHOLE:
+                said = said & REMARK if tag == "article" and CONTENT.isdisjoint(words) else frozenset()
+            if said and not (said <= MILD and (in_article or not CONTENT.isdisjoint(words))):
+                return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
@@ -68,6 +76,7 @@ def blocks(page: str) -> list[Block]:
     pieces: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool]] = []
     links = furniture = articles = at = 0
+    marked = False  # the block that is open has such a name itself
 
     def close() -> None:
         if pieces:
@@ -75,7 +84,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = len(" ".join(html.unescape(p) for p, link in pieces if link).split())
                 n = len(text.split())
-                found.append(Block(text, n, min(1.0, linked / n), furniture > 0, articles > 0))
+                found.append(Block(text, n, min(1.0, linked / n), furniture > 0 or marked, articles > 0))
             pieces.clear()
 
     for m in TOKEN.finditer(page):
@@ -92,6 +101,7 @@ def blocks(page: str) -> list[Block]:
             pieces.append((" ", links > 0))
         if tag in BLOCK:
             close()
+            marked = not closing and tag not in CONTAINER and is_furniture(tag, attributes, articles > 0)
         if tag == "a":
             links = 0 if closing else 1
         elif tag in CONTAINER:
