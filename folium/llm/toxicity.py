@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.shared import small
+from folium.llm.shared import learned, small
 from folium.llm.wordbytes import NO_LETTER, Words, chunks, hashes, mix
 
 #: Learning takes at most so many labelled texts of each kind, by a hash of the id.
@@ -112,7 +112,7 @@ class Grammar:
             put(np.flatnonzero(long), found, table)
         put(np.arange(len(which)), key, self.words)
         for s, (known, _) in _fixed().items():
-            hit = np.isin(key, known) & (symbol != INSULT)
+            hit = np.isin(key, known)
             symbol[hit], weight[hit] = s, 1
         return symbol, weight
 
@@ -216,8 +216,8 @@ def score_texts(docs: DataFrame, labels: DataFrame, usable: Column, seed: int =
     labels = labels.filter(usable & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("bad"))
     picked = [labels.filter(F.col("bad") == kind).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(TEXTS) for kind in (True, False)]
     picked = labels.sparkSession.createDataFrame(picked[0].unionByName(picked[1]).collect(), "doc_id long, bad boolean")  # at most 2 * TEXTS
-    rows = sorted((r[0], r[1]) for r in docs.filter(F.col("text").isNotNull()).join(small(picked), "doc_id").select("text", "bad").collect())
-    grammar = docs.sparkSession.sparkContext.broadcast(learn([t for t, _ in rows], [b for _, b in rows]))
+    rows = docs.filter(F.col("text").isNotNull()).join(small(picked), "doc_id").select("text", "bad")
+    grammar = docs.sparkSession.sparkContext.broadcast(learned(rows, lambda rows: learn([t for t, _ in rows], [b for _, b in rows])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
