@@ -112,8 +112,8 @@ def blocks(page: str) -> list[Block]:
                 stack.append((tag, mark))
                 furniture += mark
                 articles += tag == "article"
-                links = 0
             elif any(t == tag for t, _ in stack):
+                links = 0  # a link that was left open
                 while stack:
                     t, mark = stack.pop()
                     furniture -= mark
@@ -156,6 +156,15 @@ LABELLED = (
     (7, 0, 3, 1, 80, 0, 0, 0, 0, 1), (5, 0, 60, 0, 55, 0, 0, 0, 0, 1), (30, 0.2, 5, 0, 2, 1, 0, 0, 0, 1), (16, 0, 35, 0, 3, 0, 0, 0, 0, 1), (9, 0, 70, 0, 40, 0, 0, 0, 0, 1),
     (1, 1, 0, 0, 1, 1, 0, 0, 0, 0), (2, 1, 1, 1, 2, 1, 0, 0, 0, 0), (3, 1, 2, 1, 7, 0, 0, 0, 0, 0), (6, 0.9, 60, 0, 3, 1, 0, 0, 0, 0), (25, 0.8, 4, 1, 5, 1, 0, 0, 0, 0),
     (4, 0, 2, 1, 3, 1, 0, 0, 0, 0), (8, 0.1, 3, 1, 0, 0, 0, 0, 0, 0), (5, 0, 0, 0, 2, 1, 0, 0, 0, 0), (6, 0, 4, 1, 5, 0, 0, 0, 0, 0), (3, 0, 5, 0, 4, 0, 0, 0, 0, 0),
+    # a page of one or two blocks
+    (60, 0, 1, 0, 0, 0, 0, 0, 0, 1), (60, 0, 0, 0, 0, 0, 0, 0, 0, 1), (17, 0, 0, 0, 0, 0, 0, 0, 0, 1), (100, 0, 2, 0, 3, 0, 0, 0, 0, 1), (45, 0.1, 5, 1, 4, 1, 0, 0, 0, 1), (20, 0, 4, 0, 3, 0, 0, 0, 0, 1),
+    # links beside text: menus right before it, link lists of any length, a link between paragraphs; headings after links
+    (1, 1, 1, 1, 80, 0, 0, 0, 0, 0), (3, 1, 2, 1, 60, 0, 0, 0, 0, 0), (5, 0.8, 0, 0, 90, 0, 0, 0, 0, 0), (2, 1, 0, 0, 40, 0, 0, 0, 0, 0), (60, 1, 0, 0, 1, 0, 0, 0, 0, 0), (40, 0.9, 6, 1, 70, 0, 0, 0, 0, 0),
+    (25, 0.7, 60, 0, 60, 0, 0, 0, 0, 0), (8, 1, 50, 0, 50, 0, 0, 0, 0, 0), (90, 0.8, 3, 1, 30, 0.9, 0, 0, 0, 0), (15, 1, 70, 0, 20, 1, 0, 0, 0, 0),
+    (1, 0, 60, 1, 60, 0, 0, 0, 0, 1), (2, 0, 1, 1, 45, 0, 0, 0, 0, 1), (4, 0, 60, 0, 50, 0, 0, 0, 0, 1), (6, 0, 40, 0.9, 70, 0, 0, 0, 0, 1), (60, 0.3, 60, 0, 50, 0.1, 0, 0, 0, 1), (35, 0.25, 20, 1, 40, 0, 0, 0, 0, 1),
+    # the same where the page has an article elsewhere
+    (15, 0, 2, 1, 60, 0, 0, 0, 1, 0), (1, 1, 1, 1, 60, 0, 0, 0, 1, 0), (6, 0, 0, 0, 90, 0, 0, 0, 1, 0), (40, 0, 90, 0, 60, 0, 0, 0, 1, 0), (80, 0, 80, 0, 80, 0, 0, 0, 1, 0), (3, 0, 70, 0, 60, 0, 0, 0, 1, 0),
+    (30, 1, 60, 0, 60, 0, 0, 1, 1, 1), (5, 1, 2, 0, 3, 0, 0, 1, 1, 1),
     # furniture on such pages
     (60, 0, 8, 0, 40, 0, 1, 0, 0, 0), (15, 0, 50, 0, 60, 0, 1, 0, 0, 0), (3, 1, 2, 1, 4, 1, 1, 0, 0, 0), (30, 0.1, 60, 0, 0, 0, 1, 0, 0, 0), (120, 0, 20, 0, 30, 0, 1, 0, 0, 0),
 )

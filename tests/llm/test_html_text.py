@@ -19,6 +19,9 @@ PAGES = {
     f"<article><p>{LONG}<br>{LONG}</p><p title=\"a > b\">q</p></article": f"{LONG} {LONG}\nq",
     f"<article><p>{LONG}</p><p>cut &amp": f"{LONG}\ncut &",
     "<article></article><nav>only this</nav>": "",
+    f"<div><a href=/>Home</a></div><div><a href=/a>About us</a> | <a href=/b>More</a></div><h1>T</h1><p>{LONG}</p><p><a href=c>Read the next one</a></p><p>{LONG}</p>": f"T\n{LONG}\n{LONG}",
+    f"<div>Site of things and more words</div><article><p>{LONG}</p></article><p>{LONG}</p>": LONG,
+    f"<div><a href=x><div>{LONG}</div></a></div><h2>T</h2><p>{LONG}</p>": f"T\n{LONG}",
     f"<body class='has-sidebar fixed-header'><div class='main-content with-sidebar'><h1>T</h1><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div>": f"T\n{LONG}",
     f"<article><div class=entry-header><h1>T</h1></div><p class='advert'>{LONG}</p><p>{LONG}</p><section id=comments><article class=comment><p>{LONG}</p></article></section></article>": f"T\n{LONG}",
     f"<article><P CLASS=lead>{LONG}</P><SCRIPT>no": LONG,
