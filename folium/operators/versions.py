@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.functions import paths
+from folium.functions.text import lines
 from folium.sources.schemas import VERSIONS
 
 
@@ -65,14 +66,14 @@ def history(versions: DataFrame, path: str) -> DataFrame:
 
 def line_changes(versions: DataFrame) -> DataFrame:
     """Per commit the numbers of lines that it adds and removes, as multisets of lines."""
-    from folium.functions.text import lines
-
+    keys = ["wiki_id", "path", "ts", "version"]
     w = Window.partitionBy("wiki_id", "path").orderBy("ts", "version")
     df = commits(versions).withColumn("new", lines(F.coalesce("content", F.lit("")))).withColumn("old", F.coalesce(F.lag("new").over(w), F.array().cast("array<string>")))
-    # a line's n-th occurrence is told from its others, so that set difference counts occurrences
-    numbered = lambda c: F.transform(c, lambda x, i: F.struct(x.alias("l"), F.size(F.filter(F.slice(c, F.lit(1), i + 1), lambda y: y == x)).alias("k")))
-    added, removed = F.size(F.array_except(numbered(F.col("new")), numbered(F.col("old")))), F.size(F.array_except(numbered(F.col("old")), numbered(F.col("new"))))
-    return df.select("wiki_id", "path", "ts", "version", added.alias("lines_added"), removed.alias("lines_removed"))
+    signed = lambda c, n: F.transform(c, lambda x: F.struct(x.alias("line"), F.lit(n).alias("n")))
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("n")))  # for commits without lines
+    each = df.select(*keys, F.explode(F.concat(itself, signed(F.col("new"), 1), signed(F.col("old"), -1))).alias("l"))
+    net = each.groupBy(*keys, "l.line").agg(F.sum("l.n").alias("n"))
+    return net.groupBy(*keys).agg(F.sum(F.greatest("n", F.lit(0))).cast("int").alias("lines_added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).cast("int").alias("lines_removed"))
 
 
 # The pages of a fresh corpus.
