@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folium.llm import decontaminate, jaccard_join, language_id, mixing
 from folium.llm.queries import fold, token_ids
-from folium.llm.shared import small, table, written
+from folium.llm.shared import release, small, table, written
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is known for sure stay."""
-    return language_id.accepted(docs, usable=fold(4) != 2, least=0.5)
+    return language_id.accepted(docs, usable=fold(4) != 2, least=0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of the sources takes it."""
     times = mixing.mix(docs).groupBy("doc_id").agg(F.max("epochs").cast("int").alias("epochs")).filter("epochs > 0")
-    rows = docs.withColumnRenamed("doc_id", "id").join(times, F.col("id").eqNullSafe(F.col("doc_id")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(times, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,4 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release()
     return docs

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.shared import small, written
+from folium.llm.shared import kept, small, written
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 5
@@ -47,7 +47,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> Da
     df = df.select("doc_id", "w", "p.at", "p.hash").join(known, "hash", "left").filter("at = 0 OR known")
     reach = window - 1
     df = df.selectExpr("doc_id", "CAST(size(w) AS bigint) AS n_words", "at", "hash", f"IF(at = 0, NULL, slice(w, greatest(1, at - {reach}), {2 * window})) AS about")
-    hits = written(df, "decontaminate-hits")
+    hits = kept(df)
     counts = hits.filter("at > 0").groupBy("hash").count()
     rarest = shingles.join(counts, "hash", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "hash", "off", "items")).alias("r"))
     prefixes = written(rarest.select("win", "r.hash", "r.off", "r.items"), "decontaminate-prefixes")

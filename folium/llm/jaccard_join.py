@@ -4,12 +4,16 @@ Sets are the distinct 4-word shingles of a document, as 64-bit hashes; equal set
 100 |A & B| >= 85 |A | B|. No link is lost:
 
 1. Order. Frequent shingles come last, the more frequent the later; the others come first, by hash. Any order gives the
-   same links; which shingles count as frequent is decided by counts over all documents, and the bar is raised
-   until their table fits a fixed size. Linked sets share a shingle among their first n - ceil(0.85 n) + 1.
+   same links; which shingles count as frequent is decided by counts over all sets, and the bar is raised until their
+   table fits a fixed size. Only the shingles of least hash can come early, so only those are kept and counted; the few
+   texts of which too many are frequent are read again. Linked sets of n and m >= n shingles share at least k = 1 + n // 40 of the first
+   n - ceil(0.85 n) + k and m - ceil(0.85 m) + k.
 2. Index lists of those prefix shingles. A list is sorted by set size and cut where neighbours are too different to
-   link; the sets in a piece are blocks that need no look at other pieces. Pairs alone in a piece are also held to
-   the bound that their positions in the prefix set. Lists of frequent shingles are joined by bands of size.
-3. Answers from a similar set. In each piece one set leads: the one with the fewest shingles before the listed one.
+   link; sets in a piece are a block that needs no look at other pieces. Pairs of small pieces are counted, and a pair
+   is a candidate if it meets in k lists; pairs that share a large piece or a frequent shingle always are. Lists of
+   frequent shingles are joined by bands of size.
+3. Answers from a similar set. In each large piece one set leads: the one with the fewest shingles before the listed
+   one; of sets that met in small pieces, the least partner that they have in common.
    Every other set is compared with its leader only, which gives its link and its difference D from it.
    For two sets with the same leader, |A ^ B| = |Da ^ Db|, so their link follows from two small differences without
    the sets themselves. Those linked to the leader are connected already and are not compared with each other.
@@ -27,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.shared import small, written
+from folium.llm.shared import kept, small, written
 from folium.llm.wordbytes import SPACE, Words, chunks, mix
 
 SHINGLE, PERCENT = 4, 85
 #: Shingles with this count are frequent; doubled until at most FREQUENT_ROWS are.
-FREQUENT, FREQUENT_ROWS = 8, 1_000_000
+FREQUENT, FREQUENT_ROWS = 8, 2_000_000
+#: Pairs within pieces of at most so many sets are taken one by one.
+SMALL = 8
 #: Members of a group that are compared with each other in one cell: unlinked ones, by any.
 CELL = (128, 256)
 
@@ -61,8 +67,29 @@ def longs(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int64()))
 
 
+def need(n: np.ndarray | int) -> np.ndarray | int:
+    """Least number of common shingles with a set of any size that links."""
+    return (PERCENT * n + 99) // 100
+
+
+def common(n: np.ndarray | int) -> np.ndarray | int:
+    """Shingles that two sets which link share among the first reach(n) of each, where n is the smaller size."""
+    return 1 + n // 40
+
+
+def reach(n: np.ndarray | int) -> np.ndarray | int:
+    return np.minimum(n, n - need(n) + common(n))
+
+
+def heads(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of the values are among the first sizes[k] of set k."""
+    n = np.diff(starts)
+    return np.arange(len(values)) - np.repeat(starts[:-1], n) < np.repeat(sizes, n)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (count null), and rows (token, count) of shingles that several different sets of a piece have."""
+    """Rows of documents (count null): size, signature, and the shingles of least hash, some more than reach(n). And rows
+    (token, count) of shingles that several different sets of a piece have."""
     for batch in batches:
         for at, texts in chunks(batch.column(1)):
             values, starts = sets_of(texts)
@@ -72,19 +99,50 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.cumsum(mix(values.view(np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A)), out=total[1, 1:])
             sig = (total[:, starts[1:]] - total[:, starts[:-1]]).view(np.int64)
             m = len(texts)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, m), "n": n, "sig1": sig[0], "sig2": sig[1], "count": pa.nulls(m, pa.int64())})
+            kept = np.minimum(n, reach(n) + n // 16 + 4)
+            low = longs(values[heads(values, starts, kept)], np.concatenate([[0], np.cumsum(kept)]))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, m), "n": n, "sig1": sig[0], "sig2": sig[1], "low": low, "count": pa.nulls(m, pa.int64())})
             _, once = np.unique(sig[0], return_index=True)
             different = np.zeros(m, bool)
             different[once] = True
             tokens, counts = np.unique(values[np.repeat(different, n)], return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
             z = np.zeros(len(tokens), np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": tokens, "n": z, "sig1": z, "sig2": z, "count": counts})
+            yield pa.RecordBatch.from_pydict({"doc_id": tokens, "n": z, "sig1": z, "sig2": z, "low": pa.nulls(len(z), pa.list_(pa.int64())), "count": counts})
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and where each row's begin."""
+    starts = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(), starts - starts[0]
+
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens, counts = np.unique(_flat(batch.column(0))[0], return_counts=True)
+        yield pa.RecordBatch.from_pydict({"token": tokens, "count": counts})
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frequent tokens of a partition that has all rows of its tokens."""
+    got = list(batches)
+    if got:
+        rows = pa.Table.from_batches(got)
+        tokens, at = np.unique(rows.column(0).to_numpy(), return_inverse=True)
+        counts = np.bincount(at, rows.column(1).to_numpy()).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"token": tokens[counts >= FREQUENT], "count": counts[counts >= FREQUENT]})
 
-def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles in order of their hash, and each one's place by frequency, from 1."""
-    sums = written(counts.groupBy("doc_id").agg(F.sum("count").alias("count")).filter(F.col("count") >= FREQUENT), "jaccard-frequent")
+
+def frequent_shingles(local: DataFrame, low: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles in order of their hash, and each one's place by frequency, from 1.
+
+    Counts are of those of least hash in all sets (low), from which the prefixes come; and of all shingles, as far as
+    they are repeated within a piece (local).
+    """
+    schema = "token long, count long"
+    exact = low.select("low").mapInArrow(_tally, schema).repartition("token").mapInArrow(_total, schema)
+    local = local.groupBy(F.col("doc_id").alias("token")).agg(F.sum("count").alias("count")).filter(F.col("count") >= FREQUENT)
+    sums = written(exact.unionByName(local).groupBy("token").agg(F.max("count").alias("count")), "jaccard-frequent")
     bar = FREQUENT
     while sums.filter(F.col("count") >= bar).count() > FREQUENT_ROWS:
         bar *= 2
@@ -97,36 +155,58 @@ def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[by_hash], place[by_hash]
 
 
-def need(n: np.ndarray | int) -> np.ndarray | int:
-    """Least number of common shingles with a set of any size that links."""
-    return (PERCENT * n + 99) // 100
+def first_shingles(values: np.ndarray, starts: np.ndarray, n: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """The first reach(n) of each set in order, and how many of them aren't frequent. The values are those of least hash, or
+    all; null where they don't reach."""
+    tokens, place = frequent
+    size = np.diff(starts)
+    doc = np.repeat(np.arange(len(n)), size)
+    rank = np.zeros(len(values), np.int32)
+    if len(tokens):
+        i = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
+        rank = np.where(tokens[i] == values, place[i], 0)
+    rare = np.bincount(doc, rank == 0, len(n)).astype(np.int64)
+    take = reach(n)
+    short = (rare < take) & (size < n)
+    order = np.lexsort((values, rank, doc))
+    keep = heads(values, starts, np.where(short, 0, take))
+    lists = longs(values[order][keep], np.concatenate([[0], np.cumsum(np.where(short, 0, take))]))
+    if short.any():
+        lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(short))
+    return lists, np.minimum(rare, take)
+
 
+PREFIXES = "doc_id long, n long, rare long, prefix array<long>"
 
-def prefixes(docs: DataFrame, frequent) -> DataFrame:
+
+def prefixes(docs: DataFrame, low: DataFrame, frequent) -> DataFrame:
     """(doc_id, n, rare, prefix): the first shingles of each set, of which `rare` aren't frequent."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, place = frequent.value
+    def from_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            lists, rare = first_shingles(*_flat(batch.column(2)), n, frequent.value)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": n, "rare": rare, "prefix": lists})
+
+    def from_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in chunks(batch.column(1)):
                 values, starts = sets_of(texts)
                 n = np.diff(starts)
-                doc = np.repeat(np.arange(len(texts)), n)
-                rank = np.zeros(len(values), np.int32)
-                if len(tokens):
-                    i = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
-                    rank = np.where(tokens[i] == values, place[i], 0)
-                order = np.lexsort((values, rank, doc))
-                take = np.where(n > 0, n - need(n) + 1, 0)
-                keep = np.arange(len(values)) - starts[:-1][doc] < take[doc]
-                rare = np.bincount(doc[keep & (rank[order] == 0)], minlength=len(texts))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(texts)), "n": n, "rare": rare, "prefix": longs(values[order][keep], np.concatenate([[0], np.cumsum(take)]))})
-
-    return docs.mapInArrow(run, "doc_id long, n long, rare long, prefix array<long>")
-
-
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over all lists of a partition, from (token, doc_id, n, pos): pairs (doc_id, leader)."""
+                lists, rare = first_shingles(values, starts, n, frequent.value)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(texts)), "n": n, "rare": rare, "prefix": lists})
+
+    found = kept(low.select("doc_id", "n", "low").mapInArrow(from_low, PREFIXES))
+    short = small(found.filter("prefix IS NULL").select("doc_id"))
+    return found.filter("prefix IS NOT NULL").unionByName(docs.join(short, "doc_id", "left_semi").mapInArrow(from_text, PREFIXES))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over all lists of a partition, from (token, doc_id, n, pos): rows (doc_id, leader, shared, least).
+
+    Pairs of a small piece with the number of lists where they meet, and how many they need; or with null, members of a
+    large piece and its leader.
+    """
     got = list(batches)
     if not got:
         return
@@ -141,23 +221,40 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.bincount(piece)[piece]
     order = np.lexsort((doc, pos, piece))
     first = order[np.flatnonzero(np.diff(piece[order], prepend=-1))][piece]
-    keep = (size > 1) & (doc != doc[first])
-    # what two sets can still share after the listed shingle
-    both = np.minimum(n - pos, n[first] - pos[first])
-    keep &= (size > 2) | (100 * both >= PERCENT * (n + n[first] - both))
-    pairs = np.unique(np.stack([doc[keep], doc[first[keep]]], 1), axis=0)
-    yield pa.RecordBatch.from_pydict({"doc_id": pairs[:, 0], "leader": pairs[:, 1]})
+    star = (size > SMALL) & (doc != doc[first])
+    pairs = [np.empty((0, 3), np.int64)]
+    at = np.flatnonzero((size > 1) & (size <= SMALL))
+    for k in range(1, SMALL):
+        at = at[at + k < len(piece)]
+        at = at[piece[at] == piece[at + k]]
+        x, y = at, at + k
+        keep = (100 * n[x] >= PERCENT * n[y]) & (doc[x] != doc[y])
+        x, y = x[keep], y[keep]
+        pairs.append(np.stack([np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y]), common(n[x])], 1))
+    found, shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+    yield pa.RecordBatch.from_pydict({"doc_id": found[:, 0], "leader": found[:, 1], "shared": shared, "least": found[:, 2]})
+    led = np.unique(np.stack([doc[star], doc[first[star]]], 1), axis=0)
+    none = pa.nulls(len(led), pa.int64())
+    yield pa.RecordBatch.from_pydict({"doc_id": led[:, 0], "leader": led[:, 1], "shared": none, "least": none})
 
 
 def pairs_to_compare(postings: DataFrame) -> DataFrame:
-    """(doc_id, leader), each once, from rows (token, doc_id, n, pos, rare)."""
-    schema = "doc_id long, leader long"
-    plain = postings.filter("rare").select("token", "doc_id", "n", "pos").repartition("token").mapInArrow(_lead, schema)
+    """(doc_id, leader), each once, from rows (token, doc_id, n, pos, rare).
+
+    Of pairs that met in small pieces, one is left out if both have the same least partner: both are in its group then.
+    """
+    plain = postings.filter("rare").select("token", "doc_id", "n", "pos").repartition("token").mapInArrow(_meet, "doc_id long, leader long, shared long, least long")
+    plain = kept(plain)
+    pairs = plain.filter("shared IS NOT NULL").groupBy("doc_id", "leader").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
+    pairs = written(pairs.filter("shared >= least").select("doc_id", "leader"), "jaccard-met")
+    least = small(written(pairs.groupBy("doc_id").agg(F.min("leader").alias("m")), "jaccard-least"))
+    pairs = pairs.join(least, "doc_id").join(least.select(F.col("doc_id").alias("leader"), F.col("m").alias("of_leader")), "leader", "left")
+    pairs = pairs.filter("leader = m OR of_leader IS NULL OR of_leader <> m").select("doc_id", "leader")
     band = F.floor(F.log(F.col("n").cast("double")) / -np.log(PERCENT / 100 - 0.001)).cast("int")
     hot = postings.filter("NOT rare").select("token", F.explode(F.array(band, band + 1)).alias("band"), "doc_id", "n", "pos")
     leaders = hot.groupBy("token", "band").agg(F.min(F.struct("pos", "doc_id")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
     hot = hot.join(leaders.select("token", "band", F.col("lead.doc_id").alias("leader")), ["token", "band"]).filter("doc_id <> leader")
-    return plain.unionByName(hot.select("doc_id", "leader")).distinct()
+    return pairs.unionByName(plain.filter("shared IS NULL").select("doc_id", "leader")).unionByName(hot.select("doc_id", "leader")).distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,19 +362,20 @@ def join(docs: DataFrame) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = written(docs.mapInArrow(_profile, "doc_id long, n long, sig1 long, sig2 long, count long"), "jaccard-profile")
-    sizes = profile.filter("count IS NULL").drop("count")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(profile.filter("count IS NOT NULL")))
+    profile = kept(docs.mapInArrow(_profile, "doc_id long, n long, sig1 long, sig2 long, low array<long>, count long"))
+    sizes = profile.filter("count IS NULL").drop("count", "low")
     classes = written(sizes.filter("n > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    postings = prefixes(docs, frequent).join(reps, "doc_id", "left_semi")
+    copies = written(sizes.join(classes, ["sig1", "sig2"]).filter("doc_id <> rep").select("doc_id", "sig1", "sig2").distinct(), "jaccard-copies")
+    low = profile.filter("count IS NULL AND n > 0").join(small(copies), ["doc_id", "sig1", "sig2"], "left_anti").select("doc_id", "n", "low")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(profile.filter("count IS NOT NULL").select("doc_id", "count"), low))
+    postings = prefixes(docs, low, frequent)
     postings = postings.select("doc_id", "n", F.col("rare").alias("m"), F.posexplode("prefix").alias("pos", "token")).withColumn("rare", F.col("pos") < F.col("m"))
     pairs = written(pairs_to_compare(postings), "jaccard-pairs")
     ids = written(pairs.select("doc_id").unionByName(pairs.select(F.col("leader").alias("doc_id"))).distinct(), "jaccard-ids")
-    sets = written(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set array<long>"), "jaccard-sets")
+    sets = kept(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set array<long>"))
     both = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("leader"), F.col("set").alias("lead_set")), "leader")
     differences = both.select("doc_id", "leader", "set", "lead_set").mapInArrow(_differences, "leader long, doc_id long, n long, linked boolean, diff array<long>")
-    differences = written(differences, "jaccard-differences")
+    differences = kept(differences)
     edges = differences.filter("linked").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).unionByName(links_within(differences))
     found = components(edges)
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("component"))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.shared import small, written
+from folium.llm.shared import kept, small, written
 
 #: Sizes count these runs.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     exponential = -F.log(uniform(seed)) / quality(text)
     base = docs.select("doc_id", "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), exponential.alias("key"))
     base = base.withColumn("slice", F.floor(F.col("key") / (1 + F.col("key")) * SLICES))
-    base = written(base, "mix")
+    base = kept(base)
 
     slices = written(base.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "mix-slices")
     targets = source_targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, most)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.shared import small, written
+from folium.llm.shared import kept, small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -114,7 +114,7 @@ def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     empty result. Columns other than doc_id, text, lang and source aren't read.
     """
     df = statistics(docs).withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
-    df = written(df, "outliers")
+    df = kept(df)
     pair, lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
     many = written(df.filter("NOT base_failed").groupBy(pair.alias("pair")).count().filter(F.col("count") >= LEAST).select("pair"), "outliers-groups")
     rows = df.withColumn("pair", pair).join(small(many.withColumn("own", F.lit(True))), "pair", "left")

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.shared import written
+from folium.llm.shared import kept
 
 ALPHA, FDR = 0.001, 0.01
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -119,7 +119,7 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     free = "filter(runs, c -> NOT exists(base, b -> b.s < c.e AND c.s < b.e))"
     for name, sql in tested(free):
         df = df.withColumn(name, F.expr(sql))
-    df = written(df.select("doc_id", "base", "candidates"), "secrets")
+    df = kept(df.select("doc_id", "base", "candidates"))
     passing = thresholds(df, fdr)
     least: Column = F.create_map(*[F.lit(x) for kv in passing.items() for x in kv]) if passing else F.lit(None).cast("map<int,int>")
     random = F.transform(F.filter("candidates", lambda c: c["half"] >= F.element_at(least, c["cls"])), lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), c["e"].alias("e")))

@@ -11,6 +11,7 @@ from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +19,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of a batch of rows for Python workers, where the session has Spark's default of 64 MB: so a worker's memory
+#: doesn't follow the length of the rows.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "3m"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a session, so that Python workers find it wherever they run."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING, "67108864b") == "67108864b":
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     if sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)
         root = Path(__file__).resolve().parent.parent
@@ -47,13 +53,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: computed once, and not lost with an executor."""
+    """df written to the shared folder and read again: computed once, without lineage, and not lost with an executor."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df kept on the executors' disks for more than one use; what a lost executor had is made again from its input."""
+    _KEPT.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def release() -> None:
+    """Gives back what kept() holds; results that weren't written by then are made anew when they are used."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if a count finds at most `rows` rows; otherwise Spark chooses the join.
 

@@ -31,7 +31,7 @@ from folium.llm.wordbytes import Words, chunks, hashes
 
 MAGIC, NO_ID, BLOCK = b"FOLIOTK1", np.iinfo(np.int64).min, 4096
 #: Distinct chunks of text whose ids a worker remembers.
-CHUNKS = 1_500_000
+CHUNKS = 1_200_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -114,7 +114,8 @@ class Encoder:
 
     def forget(self) -> None:
         """No chunks are known: their hashes in order, and where in ids their ids begin, and how many they are."""
-        self.hash, self.at, self.n, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.hash, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
+        self.ids = np.empty(0, np.uint16 if len(self.last) <= 1 << 16 else np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -131,17 +132,16 @@ class Encoder:
 
     def learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
         words = np.array([c.isalpha() for c in chunks])
-        ids, n = np.empty(0, np.uint32), np.empty(len(chunks), np.int64)
+        n = np.empty(len(chunks), np.int64)
         by_word, n[words] = self.encode_words([c for c in chunks if c.isalpha()])
         rest = self.encode([c for c in chunks if not c.isalpha()])
         n[~words] = [len(x) for x in rest]
         order = np.argsort(~words, kind="stable")
-        at = np.empty(len(chunks), np.int64)
+        at = np.empty(len(chunks), np.uint32)
         at[order] = np.cumsum(n[order]) - n[order] + len(self.ids)
-        self.ids = np.concatenate([self.ids, ids, by_word, *rest])
-        self.hash, self.at, self.n = np.concatenate([self.hash, hashes]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
-        order = np.argsort(self.hash, kind="stable")
-        self.hash, self.at, self.n = self.hash[order], self.at[order], self.n[order]
+        self.ids = np.concatenate([self.ids, *(x.astype(self.ids.dtype) for x in (by_word, *rest))])
+        place = np.searchsorted(self.hash, hashes)  # new hashes are in order, as are those known
+        self.hash, self.at, self.n = np.insert(self.hash, place, hashes), np.insert(self.at, place, at), np.insert(self.n, place, n.astype(np.uint32))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.hash):
@@ -169,9 +169,9 @@ class Encoder:
             raw, spans = words.data.tobytes(), pieces[first[~known]].tolist()
             self.learn(distinct[~known], [raw[a:b].decode("utf-8", "surrogatepass") for a, b in spans])
         i = self.find(distinct)[0]
-        at, n = self.at[i][inverse], self.n[i][inverse]
+        at, n = self.at[i][inverse].astype(np.int64), self.n[i][inverse].astype(np.int64)
         upto = np.cumsum(n)
-        ids = self.ids[np.repeat(at - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        ids = self.ids[np.repeat(at - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)].astype(np.uint32)
         per_doc = np.bincount(doc, n, minlength=len(texts)).astype(np.int64)
         if special:
             parts = np.split(ids, np.cumsum(per_doc)[:-1])

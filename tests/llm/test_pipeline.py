@@ -39,3 +39,16 @@ def test_run(spark, documents, tmp_path):
     want = sorted(expected(mixed), key=lambda r: r[1])
     assert sorted(map(tuple, kept.collect()), key=lambda r: r[1]) == want
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=lambda r: r[1]) == want
+
+
+def test_stages_on_odd_tables(spark, documents, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = [(None, None, None, None), (1, "", None, None), (2, prose(30, 2), None, None), (3, prose(30, 2), "en", None), (4, "12 34", "en", "s"), (2, prose(30, 2), None, None), (5, prose(30_000, 1), "en", "s")]
+    clashing = documents(odd).selectExpr("*", "1 AS id", "2 AS epochs", "'x' AS lang_pred", "3 AS component_id", "4 AS n_hit", "5 AS copy", "true AS row")
+    for docs in (clashing, clashing.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == clashing.columns, name
+        assert docs.count() >= 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, clashing, str(tmp_path)).count() > 0, name
