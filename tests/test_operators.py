@@ -125,6 +125,15 @@ def test_folders_and_exports(spark, tmp_path):
         export.export_archive(p, "w", "rar", str(tmp_path))
 
 
+def test_reads_are_pruned_and_pushed(spark, tmp_path):
+    corpus.write_pages(make(spark, {"a.md": "x", "b.md": "y"}), str(tmp_path / "pages"))
+    stored = corpus.read_parquet_pages(spark, str(tmp_path / "pages")).filter(F.col("wiki_id") == "w")
+    plan = pages.page(stored, "a.md")._jdf.queryExecution().toString()
+    assert "EqualTo(path,a.md)" in plan.split("PushedFilters:")[1] and "wiki_id" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert "content" not in pages.list_pages(stored)._jdf.queryExecution().toString().split("ReadSchema:")[1]
+    assert "Python" not in search.search(stored, "x")._jdf.queryExecution().toString()
+
+
 def test_links_and_ranking(spark):
     p = make(spark, {"topics/a.md": "[b](b.md) [out](https://x.org/y.md) [i](/index.md)", "topics/b.md": "---\ntags: x, y\ndate: 2026-01-02 \n---\ntext", "c.md": "zeta zeta word", "d.md": "zeta"})
     assert {(r.path, r.target) for r in links.page_links(p).collect()} == {("topics/a.md", "topics/b.md"), ("topics/a.md", "index.md")}
