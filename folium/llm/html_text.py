@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folium.llm.shared import lean
+
 #: Tags whose content is not text of the page.
 SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|button|head"
 #: Tags that end the block before them.
@@ -220,4 +222,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.shared import kept, small, written
+from folium.llm.shared import kept, lean, small, written
 from folium.llm.wordbytes import SPACE, Words, chunks, mix
 
 SHINGLE, PERCENT = 4, 85
@@ -140,7 +140,7 @@ def frequent_shingles(local: DataFrame, low: DataFrame) -> tuple[np.ndarray, np.
     they are repeated within a piece (local).
     """
     schema = "token long, count long"
-    exact = low.select("low").mapInArrow(_tally, schema).repartition("token").mapInArrow(_total, schema)
+    exact = low.select("low").mapInArrow(lean(_tally), schema).repartition("token").mapInArrow(lean(_total), schema)
     local = local.groupBy(F.col("doc_id").alias("token")).agg(F.sum("count").alias("count")).filter(F.col("count") >= FREQUENT)
     sums = written(exact.unionByName(local).groupBy("token").agg(F.max("count").alias("count")), "jaccard-frequent")
     bar = FREQUENT
@@ -196,9 +196,9 @@ def prefixes(docs: DataFrame, low: DataFrame, frequent) -> DataFrame:
                 lists, rare = first_shingles(values, starts, n, frequent.value)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(texts)), "n": n, "rare": rare, "prefix": lists})
 
-    found = kept(low.select("doc_id", "n", "low").mapInArrow(from_low, PREFIXES))
+    found = kept(low.select("doc_id", "n", "low").mapInArrow(lean(from_low), PREFIXES))
     short = small(found.filter("prefix IS NULL").select("doc_id"))
-    return found.filter("prefix IS NOT NULL").unionByName(docs.join(short, "doc_id", "left_semi").mapInArrow(from_text, PREFIXES))
+    return found.filter("prefix IS NOT NULL").unionByName(docs.join(short, "doc_id", "left_semi").mapInArrow(lean(from_text), PREFIXES))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def pairs_to_compare(postings: DataFrame) -> DataFrame:
 
     Of pairs that met in small pieces, one is left out if both have the same least partner: both are in its group then.
     """
-    plain = postings.filter("rare").select("token", "doc_id", "n", "pos").repartition("token").mapInArrow(_meet, "doc_id long, leader long, shared long, least long")
+    plain = postings.filter("rare").select("token", "doc_id", "n", "pos").repartition("token").mapInArrow(lean(_meet), "doc_id long, leader long, shared long, least long")
     plain = kept(plain)
     pairs = plain.filter("shared IS NOT NULL").groupBy("doc_id", "leader").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
     pairs = written(pairs.filter("shared >= least").select("doc_id", "leader"), "jaccard-met")
@@ -362,7 +362,7 @@ def join(docs: DataFrame) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = kept(docs.mapInArrow(_profile, "doc_id long, n long, sig1 long, sig2 long, low array<long>, count long"))
+    profile = kept(docs.mapInArrow(lean(_profile), "doc_id long, n long, sig1 long, sig2 long, low array<long>, count long"))
     sizes = profile.filter("count IS NULL").drop("count", "low")
     classes = written(sizes.filter("n > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     copies = written(sizes.join(classes, ["sig1", "sig2"]).filter("doc_id <> rep").select("doc_id", "sig1", "sig2").distinct(), "jaccard-copies")
@@ -372,9 +372,9 @@ def join(docs: DataFrame) -> DataFrame:
     postings = postings.select("doc_id", "n", F.col("rare").alias("m"), F.posexplode("prefix").alias("pos", "token")).withColumn("rare", F.col("pos") < F.col("m"))
     pairs = written(pairs_to_compare(postings), "jaccard-pairs")
     ids = written(pairs.select("doc_id").unionByName(pairs.select(F.col("leader").alias("doc_id"))).distinct(), "jaccard-ids")
-    sets = kept(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set array<long>"))
+    sets = kept(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(lean(_sets), "doc_id long, set array<long>"))
     both = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("leader"), F.col("set").alias("lead_set")), "leader")
-    differences = both.select("doc_id", "leader", "set", "lead_set").mapInArrow(_differences, "leader long, doc_id long, n long, linked boolean, diff array<long>")
+    differences = both.select("doc_id", "leader", "set", "lead_set").mapInArrow(lean(_differences), "leader long, doc_id long, n long, linked boolean, diff array<long>")
     differences = kept(differences)
     edges = differences.filter("linked").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).unionByName(links_within(differences))
     found = components(edges)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.shared import learned
+from folium.llm.shared import lean, learned
 from folium.llm.wordbytes import NO_LETTER, Words, chunks, mix
 
 UNKNOWN = "und"
@@ -25,7 +25,7 @@ UNKNOWN = "und"
 LANGUAGES, DOCS, WORDS = 64, 100, 400_000
 TABLE, AFFIXES = 1 << 18, (2, 3, 4)
 #: Bytes of text that are labelled at once; long texts of a chunk advance with each other.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 LENGTH, BATCH, EPOCHS, RATE, L2 = 64, 256, 4, 0.3, 1e-4
 
 
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, usable: Column, seed: int = 1) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(texts)), "lang_pred": languages, "score": score.astype(np.float64)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, usable: Column, least: float = 0.5, seed: int = 1) -> DataFrame:
@@ -214,4 +214,4 @@ def accepted(docs: DataFrame, usable: Column, least: float = 0.5, seed: int = 1)
                 languages, score = label(model.value, texts)
                 yield batch.slice(at, len(texts)).filter(pa.array((score >= least) & (np.array(languages) != UNKNOWN)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

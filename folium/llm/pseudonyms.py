@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folium.llm.shared import lean
 from folium.llm.wordbytes import chunks
 
 ROUNDS = 8
@@ -234,4 +235,4 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string")
+    return rows.mapInArrow(lean(run), "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -83,6 +85,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; when a partition is done, the worker, which stays for others, gives its free memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # elsewhere than with glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
 def learned(rows: DataFrame, fit: Callable[[list[tuple]], Any]) -> Any:
     """fit() of all rows in order, made by one executor. For samples of bounded size."""
 
@@ -90,7 +106,7 @@ def learned(rows: DataFrame, fit: Callable[[list[tuple]], Any]) -> Any:
         found = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(sorted(found)))]})
 
-    made = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    made = rows.repartition(1).mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(made[0][0]) if made else fit([])
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folium.llm.shared import small
+from folium.llm.shared import lean, small
 from folium.llm.wordbytes import Words, chunks, hashes
 
 MAGIC, NO_ID, BLOCK = b"FOLIOTK1", np.iinfo(np.int64).min, 4096
@@ -226,7 +226,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, "shard string, first_doc long, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
+    rows.mapInArrow(lean(encode), "shard string, first_doc long, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
 
@@ -253,5 +253,5 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     before = Window.orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     bases = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "content")
-    rows = files.mapInArrow(decode, "shard string, doc_id long, in_shard long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(lean(decode), "shard string, doc_id long, in_shard long, n_tokens long, ids_crc32 long")
     return rows.join(small(bases), "shard").select("doc_id", (F.col("base") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")

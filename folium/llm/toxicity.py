@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.shared import learned, small
+from folium.llm.shared import lean, learned, small
 from folium.llm.wordbytes import NO_LETTER, Words, chunks, hashes, mix
 
 #: Learning takes at most so many labelled texts of each kind, by a hash of the id.
@@ -225,4 +225,4 @@ def score_texts(docs: DataFrame, labels: DataFrame, usable: Column, seed: int =
                 score = grammar.value.score(texts)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(texts)), "score": score, "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
-    return docs.mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.mapInArrow(lean(run), "doc_id long, score double, predicted int")
