@@ -3,8 +3,8 @@
 Every document gets an exponential key, -ln(u) / quality, with u from a hash of the seed and its id: the documents
 of least keys are a sample without replacement in which better documents are likelier. A source's target is met
 by as many complete epochs of its documents as fit, then by its documents in key order as far as the rest reaches.
-The prefix sum that finds that place is taken over slices of the key's range, and over single documents only within
-the one slice per source that holds the place, so that no source is gathered in one task.
+The prefix sum that finds that place is taken over coarse slices of the key's range, over the fine slices in the coarse
+one that holds the place, and over single documents only in the fine one, so that no source is gathered in one task.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from folium.llm.shared import kept, small, written
 
 #: Sizes count these runs.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slices of the key's range per source.
-SLICES = 16_384
+#: Slices of the key's range per source, and how many of them make a coarse one.
+SLICES, FINE = 16_384, 128
 SYMBOLS = "#*$%&|<>"
 
 
@@ -55,6 +55,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     return df.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
+def cut_part(parts: DataFrame, rests: DataFrame) -> DataFrame:
+    """(s, rest, part, before): of the parts (source, part, n) of each source's range, after `start` words, the one where the
+    sum passes the source's rest. At most some hundred rows a source are summed up."""
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    df = parts.withColumn("sum", F.coalesce(F.sum("n").over(before), F.lit(0))).join(small(rests), F.col("source").eqNullSafe(F.col("s")))
+    df = df.withColumn("before", F.col("start") + F.col("sum")).filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")))
+    return df.select("s", "rest", "part", "before")
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
     """Per document: doc_id, size, source_size, target, epochs, taken.
 
@@ -69,15 +78,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     base = base.withColumn("slice", F.floor(F.col("key") / (1 + F.col("key")) * SLICES))
     base = kept(base)
 
-    slices = written(base.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "mix-slices")
-    targets = source_targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, most)
+    coarse = written(base.groupBy("source", F.floor(F.col("slice") / FINE).alias("part")).agg(F.sum("size").alias("n")), "mix-slices")
+    targets = source_targets(coarse.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     targets = targets.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = written(targets.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")), "mix-targets")
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = slices.withColumn("before", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
-    cuts = cuts.join(targets.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-    cuts = cuts.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("slice_size")))
-    cuts = cuts.select("s", F.col("slice").alias("cut"), F.col("before").alias("cut_before"))
+    start = targets.select(F.col("source").alias("s"), "rest", F.lit(0).cast("long").alias("start"))
+    part = written(cut_part(coarse, start), "mix-cuts")  # first among the coarse slices, then among those within
+    inside = base.join(small(part.select("s", F.col("part").alias("coarse"))), F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("slice") / FINE) == F.col("coarse")))
+    fine = inside.groupBy("source", F.col("slice").alias("part")).agg(F.sum("size").alias("n"))
+    cuts = cut_part(fine, part.select("s", "rest", F.col("before").alias("start"))).select("s", F.col("part").alias("cut"), F.col("before").alias("cut_before"))
     targets = targets.withColumnRenamed("source", "t").join(cuts, F.col("t").eqNullSafe(F.col("s")), "left").drop("s")
     df = base.join(small(targets), F.col("source").eqNullSafe(F.col("t")))
     # documents beside the cut slice are decided alone; those in it by a prefix sum
