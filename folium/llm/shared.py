@@ -74,7 +74,9 @@ def kept(df: DataFrame) -> DataFrame:
 def release() -> None:
     """Gives back what kept() holds; results that weren't written by then are made anew when they are used."""
     while _KEPT:
-        _KEPT.pop().unpersist()
+        df = _KEPT.pop()
+        if df.sparkSession.sparkContext._jsc is not None:  # its session hasn't been stopped
+            df.unpersist()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
