@@ -122,9 +122,9 @@ def list_pages_subdirectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.list_pages(_pages(spark, sf_dir), BELOW)
 
 
-@query(f"WITH {P} SELECT path, content FROM p WHERE path = 'src4/en/4.md'")
+@query(f"WITH {P} SELECT path, content FROM p WHERE path = 'src1/en/1.md'")
 def read_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.page(_pages(spark, sf_dir), "src4/en/4.md")
+    return pages.page(_pages(spark, sf_dir), "src1/en/1.md")
 
 
 @query("SELECT 'index.md' AS path, string_agg('- ' || source || ': ' || n, chr(10) ORDER BY source) AS content FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
