@@ -3,8 +3,9 @@
 Everything is Spark expressions. Each document gives counts, and those a vector of four transformed statistics, kept as
 whole numbers of 1/512 so that sums are exact and don't depend on their order. Per language and source:
 
-* start: medians and scaled median absolute deviations, none below a floor;
-* C-steps: the 75 % of least distance, by a histogram of distances, give the next mean and covariance;
+* starts: medians and scaled median absolute deviations, none below a floor, and means and covariances of all;
+* C-steps: the half of least distance, by a histogram of distances, gives the next mean and covariance, until no
+  determinant gets less; of all starts the estimate with the least determinant stays. So junk may be almost half of a group;
 * the result is scaled to be consistent for normal data, and reweighted once by the documents within the 97.5 % point;
 * a document is rejected if its squared Mahalanobis distance is above CUT.
 
@@ -13,6 +14,9 @@ Groups under LEAST documents are taken together by language. Only sums and histo
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +24,11 @@ from folium.llm.shared import kept, small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-UNIT, DIMS, LEAST, STEPS = 512, 4, 50, 3
-#: Share of a group in the C-steps; 75 % and 97.5 % points of chi-squared with 4 degrees of freedom.
-HALF, CHI_75, CHI_975 = 0.75, 5.385, 11.143
-#: 0.75 / P(chi-squared with 6 degrees of freedom <= CHI_75), and likewise for 97.5 %.
-CONSISTENT_75, CONSISTENT_975 = 1.4876, 1.0857
+UNIT, DIMS, LEAST = 512, 4, 50
+#: 50 % (the share of a large group in the C-steps) and 97.5 % points of chi-squared with 4 degrees of freedom.
+CHI_50, CHI_975 = 3.3567, 11.143
+#: 0.5 / P(chi-squared with 6 degrees of freedom <= CHI_50), and likewise for 97.5 %.
+CONSISTENT_50, CONSISTENT_975 = 2.1091, 1.0857
 #: Variances are raised by the square of this, so that a statistic which hardly varies rejects nothing on its own.
 FLOOR = (0.04, 0.04, 0.06, 0.04)
 #: Squared distance beyond which a document is rejected: about one in 10^9 of normal data.
@@ -97,15 +101,31 @@ def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def nearest(rows: DataFrame) -> DataFrame:
-    """The rows of each group up to the least sixteenth of a power of two of d2 that has HALF of the group."""
+    """The rows of each group up to the least sixteenth of a power of two of d2 that has (n + DIMS + 1) / 2 of its n rows, or all."""
     binned = rows.withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-10) * 16))
     counts = binned.groupBy("g", "bin").count()
     upto = Window.partitionBy("g").orderBy("bin")
     cut = counts.withColumn("upto", F.sum("count").over(upto)).withColumn("all", F.sum("count").over(Window.partitionBy("g")))
-    cut = cut.filter(F.col("upto") >= HALF * F.col("all")).groupBy("g").agg(F.min("bin").alias("cut"))
+    cut = cut.filter(2 * F.col("upto") >= F.least(2 * F.col("all"), F.col("all") + DIMS + 1)).groupBy("g").agg(F.min("bin").alias("cut"))
     return binned.join(small(written(cut, "outliers-cut")), "g").filter("bin <= cut").drop("bin", "cut")
 
 
+def converged(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """C-steps for each g of estimates until its determinant doesn't get less; all estimates on the way, with det.
+
+    A step's sums are exact and determinants only get less, so none comes twice and the steps end.
+    """
+    det = math.prod([F.col(f"l{i}{i}") for i in range(2, DIMS + 1)], start=F.col("l11"))
+    now = written(estimates.withColumn("det", F.lit(math.inf)), "outliers-mcd")
+    steps = [now]
+    while not now.isEmpty():
+        step = moments(nearest(distances(rows, now).filter("d2 IS NOT NULL")), CONSISTENT_50).withColumn("det", det)
+        before = now.select("g", F.col("det").alias("before"))
+        now = written(step.join(small(before), "g").filter(F.col("det") < F.col("before")).drop("before"), "outliers-mcd")
+        steps.append(now)
+    return reduce(DataFrame.unionByName, steps)
+
+
 def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """Per row: doc_id, n_words, the four counts, base_failed, d2 (squared distance), kept.
 
@@ -124,8 +144,10 @@ def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     start = written(fit.groupBy("g").agg(*[F.percentile(f"x{i}", 0.5).alias(f"c{i}") for i in range(1, DIMS + 1)]), "outliers-start")
     apart = fit.join(small(start), "g").groupBy("g").agg(*[F.first(f"c{i}").alias(f"c{i}") for i in range(1, DIMS + 1)], *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5).alias(f"a{i}") for i in range(1, DIMS + 1)])
     estimates = apart.select("g", *[(F.col(f"c{i}") / UNIT).alias(f"m{i}") for i in range(1, DIMS + 1)], *[F.greatest(1.4826 * F.col(f"a{i}") / UNIT, F.lit(FLOOR[i - 1])).alias(f"l{i}{j}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for i, j in PAIRS])
-    for _ in range(STEPS):
-        estimates = moments(nearest(distances(fit, written(estimates, "outliers-mcd"))), CONSISTENT_75)
+    starts = estimates.withColumn("g", F.concat(F.lit("0"), "g")).unionByName(moments(fit, 1.0).withColumn("g", F.concat(F.lit("1"), "g")))
+    found = converged(fit.withColumn("g", F.explode(F.array(F.concat(F.lit("0"), "g"), F.concat(F.lit("1"), "g")))), starts)
+    least = F.min_by(F.struct(*[c for c in found.columns if c not in ("g", "det")]), F.struct("det", "g"))
+    estimates = found.groupBy(F.expr("substring(g, 2)").alias("g")).agg(least.alias("e")).select("g", "e.*")
     within = distances(fit, written(estimates, "outliers-mcd")).filter(F.col("d2") <= CHI_975)
     estimates = written(moments(within, CONSISTENT_975), "outliers-mcd")
     df = distances(rows, estimates)

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folium.llm import outliers
@@ -54,5 +55,15 @@ def test_planted_outliers(spark, documents):
     assert not kept[2000] and not kept[2001] and kept[2002] and got.filter(F.col("doc_id") == 5).count() == 2
 
 
+@pytest.mark.parametrize("share", [0.34, 0.42])
+@pytest.mark.parametrize("alike", [True, False])
+def test_copies_of_junk_do_not_pass(spark, documents, share, alike):
+    junk = lambda k: " ".join(w + "#" * (1 + (alike or (i + k) % 3 > 0)) for i, w in enumerate(prose(60, 9 if alike else k).split()))
+    n = round(400 * share)
+    rows = [(k, junk(k) if k < n else prose(30 + k % 200, k), "en", "a") for k in range(400)]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in outliers.judge(documents(rows)).collect()}
+    assert not any(got[k][0] or got[k][1] for k in range(n)) and all(got[k][1] for k in range(n, 400))
+
+
 def test_empty(spark, documents):
     assert outliers.judge(documents([]).limit(0)).collect() == []
