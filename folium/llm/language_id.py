@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.shared import lean, learned
+from folium.llm.shared import lean, learned, small, written
 from folium.llm.wordbytes import NO_LETTER, Words, chunks, mix
 
 UNKNOWN = "und"
-#: Training takes at most so many languages (those of most documents), documents of each, and words.
-LANGUAGES, DOCS, WORDS = 64, 100, 400_000
+#: Training takes at most so many documents of each language, and words of each.
+DOCS, WORDS = 100, 100_000
 TABLE, AFFIXES = 1 << 18, (2, 3, 4)
-#: Bytes of text that are labelled at once; long texts of a chunk advance with each other.
+#: Bytes of text that are labelled at once with up to 8 languages, fewer with more; long texts of a chunk advance with each other.
 CHUNK = 1_500_000
 LENGTH, BATCH, EPOCHS, RATE, L2 = 64, 256, 4, 0.3, 1e-4
 
@@ -114,7 +114,9 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     cuts = np.cumsum(rng.integers(4, 41, len(gold)))
     cuts = np.unique(np.concatenate([[0], cuts[cuts < len(gold)], words.first]))
     stretch = rng.permutation(len(cuts) - 1)
-    spliced = np.concatenate([np.arange(cuts[s], cuts[s + 1]) for s in stretch])[:WORDS]
+    spliced = np.concatenate([np.arange(cuts[s], cuts[s + 1]) for s in stretch])
+    kept = np.sort(np.concatenate([np.flatnonzero(gold[spliced] == j)[:WORDS] for j in range(k)]))
+    spliced = spliced[kept]
     word, gold = word[spliced], gold[spliced]
     squares, move_squares = np.full_like(model.weights, 1e-8), np.full_like(model.moves, 1e-8)
     sequences = np.arange(0, len(word), LENGTH)
@@ -138,11 +140,11 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             model.weights[spots] -= RATE * gradient / np.sqrt(squares[spots])
             # neighbours: expected pairs by the product of marginals and moves, against the pairs seen
             inner = np.setdiff1d(np.arange(len(rows) - 1), first[1:-1] - 1)
-            pair = marginal[inner][:, :, None] * marginal[inner + 1][:, None, :] * np.exp(model.moves - model.moves.max())
-            pair /= pair.sum((1, 2), keepdims=True)
+            left, right, move = marginal[inner], marginal[inner + 1], np.exp(model.moves - model.moves.max())
+            pairs = move * ((left / ((left @ move) * right).sum(1, keepdims=True)).T @ right)
             seen = np.zeros((k, k))
             np.add.at(seen, (gold[rows][inner], gold[rows][inner + 1]), 1)
-            gradient = ((pair.sum(0) - seen) / len(part)).astype(np.float32) + L2 * model.moves
+            gradient = ((pairs - seen) / len(part)).astype(np.float32) + L2 * model.moves
             move_squares += gradient**2
             model.moves -= RATE * gradient / np.sqrt(move_squares)
     return model
@@ -166,16 +168,15 @@ def label(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def training_rows(docs: DataFrame, usable: Column, seed: int) -> DataFrame:
-    """(text, lang) of a sample: DOCS documents for each of the LANGUAGES most frequent values of lang, by a hash of the id.
+    """(text, lang) of a sample: DOCS documents for each value of lang, by a hash of the id.
 
     Only ids are ranked; that ranking is cut to DOCS a language before rows are moved.
     """
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    often = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
-    picked = rows.filter(F.col("lang").isin(often)).select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= DOCS)
-    ids = [r[0] for r in picked.select("doc_id").collect()]  # at most LANGUAGES * DOCS
-    return rows.filter(F.col("doc_id").isin(ids)).select("text", "lang")
+    picked = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= DOCS)
+    ids = small(written(picked.select("doc_id").distinct(), "language-sample"))
+    return rows.join(ids, "doc_id", "left_semi").select("text", "lang")
 
 
 def fitted(docs: DataFrame, usable: Column, seed: int = 1) -> Model:
@@ -194,7 +195,7 @@ def identify(docs: DataFrame, usable: Column, seed: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(1), CHUNK):
+            for at, texts in chunks(batch.column(1), CHUNK * 8 // max(8, len(model.value.languages))):
                 languages, score = label(model.value, texts)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(texts)), "lang_pred": languages, "score": score.astype(np.float64)})
 
@@ -210,7 +211,7 @@ def accepted(docs: DataFrame, usable: Column, least: float = 0.5, seed: int = 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(place), CHUNK):
+            for at, texts in chunks(batch.column(place), CHUNK * 8 // max(8, len(model.value.languages))):
                 languages, score = label(model.value, texts)
                 yield batch.slice(at, len(texts)).filter(pa.array((score >= least) & (np.array(languages) != UNKNOWN)))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folium.llm import language_id as lid
 from folium.llm.queries import fold, op1_language_id
 from folium.llm.wordbytes import NO_LETTER, Words
+from tests.llm.conftest import prose
 
 DATA = "/root/testdata/sf0.01"
 
@@ -62,6 +63,19 @@ def test_odd_rows(spark, documents):
     assert lid.identify(docs.limit(0), F.lit(True)).collect() == []
 
 
+def test_more_languages_than_64(spark, documents):
+    rows = [(100 * j + i, prose(60, 1000 + j, 40), f"l{j:02}", "s") for j in range(70) for i in range(3)]
+    model = lid.fitted(documents(rows), F.lit(True))
+    assert model.languages == [f"l{j:02}" for j in range(70)]
+    assert sum(a == b for a, b in zip(lid.label(model, [r[1] for r in rows[::3]])[0], model.languages, strict=True)) >= 68
+
+
+def test_words_are_bounded_by_language(monkeypatch):
+    monkeypatch.setattr(lid, "WORDS", 200)
+    model = lid.train([EN] * 2_000 + [FR] * 20, ["en"] * 2_000 + ["fr"] * 20)
+    assert lid.label(model, [EN, FR])[0] == ["en", "fr"]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
