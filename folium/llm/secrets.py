@@ -55,12 +55,25 @@ def spans(text: str, pattern: str) -> str:
 NONE = "CAST(array() AS array<struct<s: bigint, e: bigint, v: string>>)"
 
 
+def rest(run: str, base: str) -> str:
+    """SQL for array<struct<s, e, v>> of what the spans of base leave of run, without signs at the ends."""
+    piece = lambda s, e: f"array(named_struct('s', {s}, 'v', substring({run}.v, CAST({s} - {run}.s + 1 AS int), CAST({e} - {s} AS int))))"
+    cut = f"""aggregate(filter(sort_array({base}), b -> b.s < {run}.e AND {run}.s < b.e),
+        named_struct('at', {run}.s, 'out', CAST(array() AS array<struct<s: bigint, v: string>>)),
+        (a, b) -> named_struct('at', greatest(a.at, b.e), 'out', IF(b.s > a.at, concat(a.out, {piece('a.at', 'b.s')}), a.out)),
+        a -> IF(a.at < {run}.e, concat(a.out, {piece('a.at', f'{run}.e')}), a.out))"""
+    bare = f"transform({cut}, p -> named_struct('s', p.s + length(p.v) - length(ltrim('{REST}', p.v)), 'v', trim(BOTH '{REST}' FROM p.v)))"
+    return f"transform(filter({bare}, p -> length(p.v) >= 20), p -> named_struct('s', p.s, 'e', p.s + length(p.v), 'v', p.v))"
+
+
 def tested(runs: str) -> list[tuple[str, str]]:
     """Columns that turn array<struct<s, e, v>> to candidates array<struct<s, e, cls, half>>, step by step."""
     log_p = "array(" + ", ".join(f"{x:.6f}D" for x in text_log_p()) + ")"
     alphabet = f"""CASE WHEN rtrim('=', c.v) RLIKE '^[0-9]+$' THEN '{DIGITS}' WHEN rtrim('=', c.v) RLIKE '^[0-9a-f]+$' THEN '{DIGITS}abcdef'
         WHEN rtrim('=', c.v) RLIKE '^[0-9A-F]+$' THEN '{DIGITS}ABCDEF' WHEN rtrim('=', c.v) RLIKE '^[a-z]+$' THEN '{LOWER}'
-        WHEN rtrim('=', c.v) RLIKE '^[A-Z2-7]+$' THEN '{UPPER}234567' WHEN rtrim('=', c.v) RLIKE '^[A-Za-z0-9_-]+$' THEN '{UPPER}{LOWER}{DIGITS}-_' ELSE '{UPPER}{LOWER}{DIGITS}+/' END"""
+        WHEN rtrim('=', c.v) RLIKE '^[A-Z2-7]+$' THEN '{UPPER}234567'
+        WHEN rtrim('=', c.v) RLIKE '^[a-z0-9]+$' THEN '{LOWER}{DIGITS}' WHEN rtrim('=', c.v) RLIKE '^[A-Z0-9]+$' THEN '{UPPER}{DIGITS}'
+        WHEN rtrim('=', c.v) RLIKE '^[A-Za-z0-9_-]+$' THEN '{UPPER}{LOWER}{DIGITS}-_' ELSE '{UPPER}{LOWER}{DIGITS}+/' END"""
     z = lambda p: f"(1 / (1 + exp(least(700D, 1.5976D * ({p}) + 0.070566D * pow({p}, 3)))))"  # noqa: E731  upper tail of the normal
     both = lambda p: f"least(1D, 2 * {z(f'abs({p})')})"
     return [
@@ -103,8 +116,8 @@ def thresholds(candidates: DataFrame, fdr: float = FDR) -> dict[int, int]:
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """Per row: doc_id, found: array<struct<s, k, e>> of all spans by start, then kind (k is its place in KINDS).
 
-    Null texts are empty and have no spans. Rows of equal doc_id are scanned each by itself. Of a random run that
-    overlaps a span of a fixed pattern only the latter is kept. An empty table gives an empty result; columns other
+    Null texts are empty and have no spans. Rows of equal doc_id are scanned each by itself. Spans of fixed patterns are cut
+    out of runs, and what is left of a run is tested without the signs at its ends. An empty table gives an empty result; columns other
     than doc_id and text aren't read.
     """
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -116,7 +129,7 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
         df = df.withColumn(f"c_{kind}", F.expr(f"IF(size(runs) > 0, {spans('text', pattern)}, {NONE})"))
     base = [f"transform(c_{kind}, c -> named_struct('s', c.s, 'k', {n}, 'e', c.e))" for n, kind in enumerate(KINDS[:3])]
     df = df.withColumn("base", F.expr(f"concat({', '.join(base)})"))
-    free = "filter(runs, c -> NOT exists(base, b -> b.s < c.e AND c.s < b.e))"
+    free = f"flatten(transform(runs, c -> IF(exists(base, b -> b.s < c.e AND c.s < b.e), {rest('c', 'base')}, array(c))))"
     for name, sql in tested(free):
         df = df.withColumn(name, F.expr(sql))
     df = kept(df.select("doc_id", "base", "candidates"))

@@ -51,5 +51,16 @@ def test_base_spans_stay(spark, documents):
     assert got.n_assign == 1 and got.spans.split(",")[0].startswith("assign:0:")
 
 
+def test_keys_of_each_alphabet_and_beside_base_spans(spark, documents):
+    r = random.Random(6)
+    low, up, mixed = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda a, n: "".join(r.choices(a, k=n))
+    texts = [f"{prose(20, k)} {key((low, up)[k % 2], 32)} {prose(9, k)}" for k in range(40)]
+    texts += [f"AKIA{key(up, 16)}/{key(mixed, 40)} {prose(9, k)}" for k in range(20)]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(documents(texts + [prose(60, 100 + k) for k in range(60)]))).collect()}
+    assert all(sum("random" in got[k] for k in range(f, 40, 2)) >= 17 for f in (0, 1))
+    assert sum(got[k] == "access:0:20,random:21:61" for k in range(40, 60)) >= 17 and not any("random" in got[k] for k in range(60, 120))
+
+
 def test_empty(spark, documents):
     assert secrets.digest(secrets.scan(documents([]).limit(0))).collect() == []
