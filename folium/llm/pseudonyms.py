@@ -33,8 +33,10 @@ PATTERN = re.compile(
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[\x20-]?\d){12,18}(?![\w-]|\.\d))"
-    r"|(?P<phone>(?<![\w.+])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{2,4}(?:[\x20.-]?\d{2,4}){1,3}(?![\w-]|\.\d))"
+    r"|(?P<phone>(?<![\w.+])(?:\+\d(?:[\x20.-]?\d){7,14}|0\d{1,4}/\d{5,8}|(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{2,4}(?:[\x20.-]?\d{2,4}){1,3})(?![\w-]|\.\d))"
 )
+#: Country codes of one and two digits; the others have three.
+CODE = re.compile(r"(\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d{1,2}(?!\d))[\x20.-]?)?")
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -114,17 +116,22 @@ def _ssn(value: str, key: bytes) -> str | None:
 
 
 def _phone(value: str, key: bytes) -> str | None:
-    m = re.match(r"(\+\d{1,3}[\x20.-]?)?", value)
+    m = CODE.match(value)
     code, rest = value[: m.end()], value[m.end() :]
     d = re.sub(r"\D", "", rest)
     n = len(d) + len(re.sub(r"\D", "", code))
-    if not 7 <= n <= 15 or not (code or "(" in rest or re.fullmatch(r"\d{3}[\x20.-]\d{3}[\x20.-]\d{4}", rest)):
+    # numbers that begin with a trunk 0; four groups with dots are rather an address
+    trunk = not code and "(" not in rest and d[0] == "0" != d[1] and 9 <= n <= 12 and not re.fullmatch(r"(?:\d{1,3}\.){3}\d{1,3}", rest)
+    if not 7 <= n <= 15 or not (code or "(" in rest or trunk or re.fullmatch(r"\d{3}[\x20.-]\d{3}[\x20.-]\d{4}", rest)):
         return None
     if len(d) == 10 and d[0] > "1" and d[3] > "1":  # area and exchange don't begin with 0 or 1
         x = permute(((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:]), 800 * 800 * 10_000, key, "phone")
         x, line = divmod(x, 10_000)
         a, b = divmod(x, 800)
         d = f"{a + 200}{b + 200}{line:04}"
+    elif trunk:  # what follows the trunk 0 doesn't begin with 0
+        low = 10 ** (n - 2)
+        d = f"0{low + permute(int(d) - low, 9 * low, key, 'phone0')}"
     else:
         d = digits_permuted(d, key, "phone")
     return code + refill(rest, r"\d", d)

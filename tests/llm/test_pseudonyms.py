@@ -55,6 +55,19 @@ def test_not_valid(value):
     assert ps.replace(f"so {value} end", KEY) == (f"so {value} end", [])
 
 
+@pytest.mark.parametrize("value", ["+14155552671", "+33612345678", "+44 7911 123456", "+447911123456", "06 12 34 56 78", "030 1234567", "06.12.34.56.78", "030/1234567"])
+def test_compact_and_national_phones(value):
+    new, found = ps.replace(f"so {value} and {value}, end", KEY)
+    assert [k for _, _, k in found] == ["phone"] * 2 and value not in new
+    first, second = re.fullmatch("so (.*) and (.*), end", new).groups()
+    assert first == second and re.sub("[0-9]", "9", first) == re.sub("[0-9]", "9", value) and ps.replace(first, KEY)[1][0][2] == "phone"
+
+
+def test_separators_do_not_change_a_phone():
+    compact, spaced = (ps.replace(v, KEY)[0] for v in ("+14155552671", "+1 415 555 2671"))
+    assert compact == spaced.replace(" ", "")
+
+
 def test_dates_in_any_format_are_linked():
     days = [ps.replace(v, KEY)[0] for v in ("1980-03-09", "9.3.1980", "3/9/1980")]
     y, m, d = map(int, days[0].split("-"))
