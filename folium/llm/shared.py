@@ -7,6 +7,7 @@ import ctypes
 import pickle
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,7 +15,8 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of at most so many narrow rows (some tens of bytes each) may be broadcast.
@@ -54,29 +56,77 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: computed once, without lineage, and not lost with an executor."""
+    """df written to the shared folder and read again: computed once, without lineage, and not lost with an executor. The
+    folder stays until release()."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((spark, path))
+    found = spark.read.schema(df.schema).parquet(path)
+    found._folder = path
+    return found
+
+
+def bounded(rows: DataFrame, by: str, order: Column, chars: int) -> DataFrame:
+    """Of rows (text, ..), few of each value of `by`: in order, the first and those up to which the texts have at most
+    `chars` characters. Texts stay whole."""
+    upto = Window.partitionBy(by).orderBy(order, "text")
+    df = rows.withColumn("_upto", F.sum(F.length("text").cast("long")).over(upto.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rank", F.row_number().over(upto))
+    return df.filter((F.col("_upto") <= chars) | (F.col("_rank") == 1)).drop("_upto", "_rank")
 
 
 _KEPT: list[DataFrame] = []
+_BROADCAST: list[weakref.ref[Broadcast]] = []
+
+
+def broadcast(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast of value, until release() or until nothing refers to it."""
+    made = spark.sparkContext.broadcast(value)
+    _BROADCAST.append(weakref.ref(made))
+    return made
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df kept on the executors' disks for more than one use; what a lost executor had is made again from its input."""
+    """df kept on the executors' disks for more than one use; what a lost executor had is made again from its input. It stays
+    until release()."""
     _KEPT.append(df.persist(StorageLevel.DISK_ONLY))
     return df
 
 
-def release() -> None:
-    """Gives back what kept() holds; results that weren't written by then are made anew when they are used."""
+def _lives(spark: SparkSession) -> bool:
+    return spark.sparkContext._jsc is not None
+
+
+def release(but: DataFrame | None = None) -> None:
+    """Gives back what operators hold for results that are lazy: kept tables, broadcasts, and the folders of written tables, but
+    for that of `but`. For when the results are written; those that weren't can't be used any more."""
     while _KEPT:
         df = _KEPT.pop()
-        if df.sparkSession.sparkContext._jsc is not None:  # its session hasn't been stopped
+        if _lives(df.sparkSession):
             df.unpersist()
+    while _BROADCAST:
+        made = _BROADCAST.pop()()
+        if made is not None and made._jbroadcast is not None and made._sc._jsc is not None:
+            made.destroy()
+    spared = getattr(but, "_folder", None)
+    for spark, path in [w for w in _WRITTEN if w[1] != spared]:
+        _WRITTEN.remove((spark, path))
+        if _lives(spark):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def releasing() -> Iterator[None]:
+    """Around calls of operators and the writing of their results; what they held is given back at the end."""
+    try:
+        yield
+    finally:
+        release()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
