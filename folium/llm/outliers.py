@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.shared import kept, small, written
+from folium.llm.shared import kept, let, small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -35,11 +35,6 @@ FLOOR = (0.04, 0.04, 0.06, 0.04)
 CUT = 47.0
 
 
-def let(name: str, value: str, body: str) -> str:
-    """SQL for body, in which name stands for value, computed once even where body's lambdas use it."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def repeated(words: str, width: int = 8) -> str:
     """SQL for the number of words in windows that occur twice or more. Windows are sorted by hash only if one does."""
     hashes = let("v", f"transform({words}, x -> xxhash64(x))", f"transform(sequence(1, size(v) - {width - 1}), i -> xxhash64(slice(v, i, {width})))")

@@ -111,6 +111,50 @@ SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(c.n, 0)::BIG
        sha256(coalesce(s.ids, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
+_LETTER = {c: f"[{c.upper()}{c}]" for c in "abcdefghijklmnopqrstuvwxyz"}
+_ASSIGN = "(" + "|".join("".join(_LETTER.get(c, c) for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_TAIL = "(1 / (1 + exp(least(700::DOUBLE, 1.5976::DOUBLE * ({0}) + 0.070566::DOUBLE * pow({0}, 3)))))"
+
+#: Matches and what stands between them give places; characters of runs as rows give the battery.
+OP5_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+x AS (SELECT r, 0 AS k, regexp_extract_all(text, '{_ASSIGN}') AS f, string_split_regex(text, '{_ASSIGN}') AS g FROM d
+      UNION ALL SELECT r, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM d
+      UNION ALL SELECT r, 2, regexp_extract_all(text, '[0-9a-f]+'), string_split_regex(text, '[0-9a-f]+') FROM d
+      UNION ALL SELECT r, 9, regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{20,}}'), string_split_regex(text, '[A-Za-z0-9+/_=-]{{20,}}') FROM d),
+y AS (SELECT r, k, unnest(range(1, len(f) + 1)) AS i, unnest(f) AS f, unnest(g[1:len(f)]) AS g FROM x WHERE len(f) > 0),
+z AS (SELECT r, k, f AS v, coalesce(sum(length(f) + length(g)) OVER (PARTITION BY r, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(g) AS s FROM y),
+m AS (SELECT r, k, s, s + length(v) AS e, v FROM z),
+b AS (SELECT r, k, s, e FROM m WHERE (k = 0 AND length(regexp_extract(v, '{_ASSIGN}', 2)) >= 6) OR (k = 1 AND e - s >= 20) OR (k = 2 AND e - s >= 24)),
+o AS (SELECT q.r, q.s AS rs, q.e AS re, q.v, b.s, b.e, greatest(q.s, coalesce(max(b.e) OVER (PARTITION BY q.r, q.s ORDER BY b.s, b.k, b.e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q.s)) AS begin_
+      FROM m q JOIN b ON b.r = q.r AND b.s < q.e AND q.s < b.e WHERE q.k = 9),
+p AS (SELECT r, begin_ AS s, substr(v, begin_ - rs + 1, s - begin_) AS v FROM o WHERE s > begin_
+      UNION ALL SELECT r, greatest(rs, max(e)), substr(v, greatest(rs, max(e)) - rs + 1, re - greatest(rs, max(e))) FROM o GROUP BY r, rs, re, v HAVING max(e) < re),
+u AS (SELECT r, s + length(v) - length(ltrim(v, '+/_=-')) AS s, trim(v, '+/_=-') AS v FROM p),
+c AS (SELECT r, s, s + length(v) AS e, rtrim(v, '=') AS v FROM u WHERE length(v) >= 20
+      UNION ALL SELECT r, s, e, rtrim(v, '=') FROM m WHERE k = 9 AND NOT EXISTS (SELECT 1 FROM o WHERE o.r = m.r AND o.rs = m.s)),
+a AS (SELECT *, length(v) AS n, CASE WHEN regexp_full_match(v, '[0-9]+') THEN '0123456789' WHEN regexp_full_match(v, '[0-9a-f]+') THEN '0123456789abcdef' WHEN regexp_full_match(v, '[0-9A-F]+') THEN '0123456789ABCDEF'
+        WHEN regexp_full_match(v, '[a-z]+') THEN '{secrets.LOWER}' WHEN regexp_full_match(v, '[A-Z2-7]+') THEN '{secrets.UPPER}234567' WHEN regexp_full_match(v, '[a-z0-9]+') THEN '{secrets.LOWER}0123456789'
+        WHEN regexp_full_match(v, '[A-Z0-9]+') THEN '{secrets.UPPER}0123456789' WHEN regexp_full_match(v, '[A-Za-z0-9_-]+') THEN '{secrets.UPPER}{secrets.LOWER}0123456789-_' ELSE '{secrets.UPPER}{secrets.LOWER}0123456789+/' END AS alphabet
+      FROM c WHERE length(v) >= 20),
+h AS (SELECT r, s, e, n, length(alphabet)::DOUBLE AS k, alphabet, i, substr(v, i, 1) AS ch FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM a)),
+w AS (SELECT *, (instr(alphabet, ch) - 1)::DOUBLE AS x, ([{', '.join(f'{v:.6f}::DOUBLE' for v in secrets.text_log_p())}])[instr('{secrets.ALL}', ch)] AS p FROM h),
+l AS (SELECT *, lag(x) OVER (PARTITION BY r, s ORDER BY i) AS x0, avg(x) OVER (PARTITION BY r, s) AS mean FROM w),
+t1 AS (SELECT r, s, any_value(e) AS e, any_value(n)::DOUBLE AS n, any_value(k) AS k, -any_value(n) * ln(any_value(k)) - sum(p) AS llr, sum((x >= k / 2)::INT)::DOUBLE AS high,
+        coalesce(sum(((x >= k / 2) <> (x0 >= k / 2))::INT), 0)::DOUBLE AS turns, coalesce(sum((x - mean) * (x0 - mean)), 0) AS lagged, sum(pow(x - mean, 2)) AS spread FROM l GROUP BY r, s),
+t2 AS (SELECT r, s, sum(pow(n, 2)) AS squares FROM (SELECT r, s, ch, count(*)::DOUBLE AS n FROM h WHERE contains(alphabet, ch) GROUP BY ALL) GROUP BY r, s),
+t3 AS (SELECT t1.*, greatest(k / n * coalesce(squares, 0) - n, 0) AS chi, 2 * high * (n - high) / n AS pairs FROM t1 LEFT JOIN t2 USING (r, s)),
+t4 AS (SELECT r, s, e, n, llr, (pow(chi / (k - 1), 1.0::DOUBLE / 3) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z1,
+        abs(CASE WHEN high = 0 OR high = n THEN 1e3 ELSE (turns - pairs) / sqrt(greatest(1e-9, pairs * (pairs - 1) / (n - 1))) END) AS z2, abs(sqrt(n) * lagged / greatest(1e-9, spread)) AS z3 FROM t3),
+t5 AS (SELECT *, -ln(greatest(1e-300, {_TAIL.format('z1')})) - ln(greatest(1e-300, least(1, 2 * {_TAIL.format('z2')}))) - ln(greatest(1e-300, least(1, 2 * {_TAIL.format('z3')}))) AS y FROM t4),
+t6 AS (SELECT r, s, e, floor(log2(n))::INT AS cls, floor(2 * greatest(0, least({secrets.LARGEST}, llr - y + ln(1 + y + y * y / 2))))::INT AS half FROM t5),
+n AS (SELECT cls, least(half, {secrets.LARGEST}) AS half, count(*) AS n FROM t6 GROUP BY ALL),
+q AS (SELECT cls, min(half) AS bar FROM (SELECT cls, half, sum(n) OVER (PARTITION BY cls ORDER BY half DESC) AS above, sum(n) OVER (PARTITION BY cls) AS m FROM n) WHERE half > 0 AND exp(-half / 2.0) * m <= {secrets.FDR} * above GROUP BY cls),
+f AS (SELECT r, s, k, e FROM b UNION ALL SELECT r, s, 3, e FROM t6 JOIN q USING (cls) WHERE half >= bar),
+g AS (SELECT r, count_if(k = 0) AS n0, count_if(k = 1) AS n1, count_if(k = 2) AS n2, string_agg(['assign', 'access', 'hex', 'random'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (WHERE k < 3) AS base,
+        string_agg(['assign', 'access', 'hex', 'random'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
 #: All pairs that share a shingle, and who is reached from whom.
 OP9_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
@@ -135,4 +179,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pseudonyms": op10_pseudonyms,
 }
-SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_mixing": OP4_SQL, "op9_jaccard_join": OP9_SQL}
+SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_mixing": OP4_SQL, "op5_secrets": OP5_SQL, "op9_jaccard_join": OP9_SQL}

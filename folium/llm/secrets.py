@@ -4,11 +4,14 @@ Everything is Spark expressions. A run of at least 20 characters that encodings
 
 * its encoding is inferred from the characters it has, which gives the alphabet of k symbols;
 * chi-squared of the symbols' counts against uniform, a runs test about the alphabet's middle and the lag-1 serial
-  correlation each give a p-value under randomness; the run stays a candidate if no one is below ALPHA / 3;
-* against the opposite hypothesis, text by letter frequencies, its p-value is at most exp(-L), where L is the log
-  likelihood ratio of random over text (Markov's inequality); L grows with length, so short runs need more;
-* Benjamini-Hochberg at rate FDR is applied to those p-values over all documents, within classes of length by powers
-  of two. Its thresholds come from counts by (class, half unit of L): a table whose size is bounded.
+  correlation each give a p-value under randomness; Fisher's method makes one of the three, P;
+* against the opposite hypothesis, text by letter frequencies, exp(L) has mean 1, where L is the log likelihood ratio of
+  random over text; P is at most 1, so P exp(L) has at most that mean, and 1 / (P exp(L)) is a p-value by Markov's
+  inequality. So a run is only found if it is far likelier to be random than text, and the less so the more the battery
+  speaks against it; L grows with length, so short runs need more;
+* Benjamini-Hochberg at rate FDR is applied to those combined p-values of all runs of all documents, within classes of
+  length by powers of two. Its thresholds come from counts by (class, half unit of the p-value's logarithm): a table whose
+  size is bounded, since beyond 700 the p-value is 0 in double precision and all such runs are alike.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.shared import kept
+from folium.llm.shared import kept, let
 
-ALPHA, FDR = 0.001, 0.01
+FDR, LARGEST = 0.01, 1400
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 RUN = "[A-Za-z0-9+/_=-]{20,}"
@@ -41,15 +44,18 @@ def text_log_p() -> list[float]:
 def spans(text: str, pattern: str) -> str:
     """SQL for array<struct<s, e, v>> of the leftmost matches of pattern that don't overlap; code points, e exclusive.
 
-    The pieces that split() leaves between the matches give their places.
+    The pieces that split() leaves between the matches give their places, summed up in blocks of about the square root of
+    their number: appending to one long array would copy it for each.
     """
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    found = f"regexp_extract_all({text}, {p}, 0)"
-    return f"""aggregate(zip_with({found}, split({text}, {p}, -1), (f, g) -> struct(f, g)),
-        named_struct('at', 0L, 'out', CAST(array() AS array<struct<s: bigint, e: bigint, v: string>>)),
-        (a, x) -> IF(x.f IS NULL, a, named_struct('at', a.at + length(x.g) + length(x.f), 'out', concat(a.out, array(
-            named_struct('s', a.at + length(x.g), 'e', a.at + length(x.g) + length(x.f), 'v', x.f))))),
-        a -> a.out)"""
+    pairs = f"filter(zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (f, g) -> named_struct('f', f, 'g', length(g))), x -> x.f IS NOT NULL)"
+    blocks = "transform(sequence(0, CAST((size(ps) - 1) DIV width AS int)), b -> slice(ps, b * width + 1, width))"
+    sums = "transform(bs, b -> aggregate(b, 0L, (n, x) -> n + x.g + length(x.f)))"
+    starts = f"aggregate({sums}, named_struct('at', 0L, 'out', CAST(array() AS array<bigint>)), (a, n) -> named_struct('at', a.at + n, 'out', concat(a.out, array(a.at))), a -> a.out)"
+    inside = """aggregate(b, named_struct('at', st, 'out', CAST(array() AS array<struct<s: bigint, e: bigint, v: string>>)),
+        (a, x) -> named_struct('at', a.at + x.g + length(x.f), 'out', concat(a.out, array(named_struct('s', a.at + x.g, 'e', a.at + x.g + length(x.f), 'v', x.f)))), a -> a.out)"""
+    placed = let("width", "CAST(ceil(sqrt(size(ps))) AS int)", let("bs", blocks, f"flatten(zip_with(bs, {starts}, (b, st) -> {inside}))"))
+    return let("ps", pairs, f"IF(size(ps) = 0, {NONE}, {placed})")
 
 
 NONE = "CAST(array() AS array<struct<s: bigint, e: bigint, v: string>>)"
@@ -92,14 +98,16 @@ def tested(runs: str) -> list[tuple[str, str]]:
                  / sqrt(greatest(1e-9D, (2 * c.high * (c.n - c.high) / c.n) * (2 * c.high * (c.n - c.high) / c.n - 1) / (c.n - 1)))),
             'z3', sqrt(c.n) * aggregate(zip_with(slice(c.x, 2, size(c.x)), slice(c.x, 1, size(c.x) - 1), (y, w) -> (y - c.mean) * (w - c.mean)), 0D, (t, y) -> t + y)
                  / greatest(1e-9D, aggregate(c.x, 0D, (t, y) -> t + pow(y - c.mean, 2)))))"""),
-        ("candidates", f"""transform(filter(c4, c -> least({z('c.z1')}, {both('c.z2')}, {both('c.z3')}) >= {ALPHA / 3}D OR c.llr < 0),
-            c -> named_struct('s', c.s, 'e', c.e, 'cls', CAST(floor(log2(c.n)) AS int), 'half', IF(least({z('c.z1')}, {both('c.z2')}, {both('c.z3')}) >= {ALPHA / 3}D, CAST(floor(greatest(c.llr, 0D) * 2) AS int), 0)))"""),
+        ("c5", f"""transform(c4, c -> named_struct('s', c.s, 'e', c.e, 'n', c.n, 'llr', c.llr, 'y', -ln(greatest(1e-300D, {z('c.z1')})) - ln(greatest(1e-300D, {both('c.z2')})) - ln(greatest(1e-300D, {both('c.z3')}))))"""),
+        ("candidates", f"""transform(c5, c -> named_struct('s', c.s, 'e', c.e, 'cls', CAST(floor(log2(c.n)) AS int),
+            'half', CAST(floor(2 * greatest(0D, least({LARGEST}D, c.llr - c.y + ln(1 + c.y + c.y * c.y / 2)))) AS int)))"""),
     ]
 
 
 def thresholds(candidates: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """Per class of length the least half unit of L that Benjamini-Hochberg lets pass; at most some 30 classes."""
-    counts = candidates.select(F.explode("candidates").alias("c")).groupBy("c.cls", F.least(F.col("c.half"), F.lit(1400)).alias("half")).count()
+    """Per class of length the least half unit of the combined p-value's logarithm that Benjamini-Hochberg lets pass; at most
+    some 30 classes."""
+    counts = candidates.select(F.explode("candidates").alias("c")).groupBy("c.cls", F.least(F.col("c.half"), F.lit(LARGEST)).alias("half")).count()
     found: dict[int, int] = {}
     by: dict[int, dict[int, int]] = {}
     for cls, half, n in counts.collect():  # at most 30 x 1400 counts
@@ -116,9 +124,10 @@ def thresholds(candidates: DataFrame, fdr: float = FDR) -> dict[int, int]:
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """Per row: doc_id, found: array<struct<s, k, e>> of all spans by start, then kind (k is its place in KINDS).
 
-    Null texts are empty and have no spans. Rows of equal doc_id are scanned each by itself. Spans of fixed patterns are cut
-    out of runs, and what is left of a run is tested without the signs at its ends. An empty table gives an empty result; columns other
-    than doc_id and text aren't read.
+    Null texts are empty and have no spans. Rows of equal doc_id, and repeated rows, are scanned each by itself, and each
+    counts in the control of discoveries. Spans of fixed patterns are cut out of runs, and what is left of a run is tested
+    without the signs at its ends. Runs whose p-values fall in the same half unit pass or fail together. Texts and runs of
+    any length are taken whole. An empty table gives an empty result; columns other than doc_id and text aren't read.
     """
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # runs of 20 characters have in them whatever access and hex find, so texts without one need no other pass

@@ -7,7 +7,10 @@ import hashlib
 import random
 import re
 
+import duckdb
+
 from folium.llm import secrets
+from folium.llm.queries import OP5_SQL
 from tests.llm.conftest import prose
 
 CASE = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
@@ -64,3 +67,29 @@ def test_keys_of_each_alphabet_and_beside_base_spans(spark, documents):
 
 def test_empty(spark, documents):
     assert secrets.digest(secrets.scan(documents([]).limit(0))).collect() == []
+
+
+def test_query_against_sql(spark, documents):
+    r = random.Random(8)
+    key = lambda n: base64.b64encode(r.randbytes(n)).decode()
+    made = lambda k: (f"{prose(9, k)} {key(r.randint(10, 60))}", f"token={key(30)}/{key(30)}", f"AKIA{'X0' * r.randint(6, 12)}/{key(30)}", f"{r.randbytes(20).hex()} {prose(4, k)}", "==" + key(31) + "=/_" + prose(60, k).replace(" ", "-"), prose(12, k).replace(" ", ""))[k % 6]
+    texts = [made(k) for k in range(240)] + [None, "", "a" * 5_000, key(3_000), "secret: " * 50, prose(80, 3)]
+    docs = documents(texts)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = sorted(tuple(r) for r in secrets.digest(secrets.scan(docs)).collect())
+    want = sorted(con.execute(OP5_SQL).fetchall())
+    assert got == want and sum("random" in r[5] for r in got) > 60
+
+
+def test_places_are_found_in_linear_time(spark, documents):
+    import time
+
+    took = []
+    for n in (8_000, 8_000, 16_000):
+        began = time.time()
+        got = secrets.digest(secrets.scan(documents(["token=abcdef " * n]))).first()
+        took.append(time.time() - began)
+        assert got.n_assign == n and got.spans.endswith(f"assign:{13 * n - 13}:{13 * n - 1}")
+    assert took[2] < 2.5 * took[1] + 1
