@@ -1,15 +1,18 @@
 """Quality rules: fixed limits, and robust multivariate outliers by minimum covariance determinant.
 
 Everything is Spark expressions. Each document gives counts, and those a vector of four transformed statistics, kept as
-whole numbers of 1/512 so that sums are exact and don't depend on their order. Per language and source:
+whole numbers of 1/512 so that sums are exact and don't depend on their order. Per language and source, and per language:
 
-* starts: medians and scaled median absolute deviations, none below a floor, and means and covariances of all;
+* three starts: medians and scaled median absolute deviations; means and covariances of all; covariances of the signs, that
+  is of vectors scaled to the length 1 about the medians. No variance is below a floor;
 * C-steps: the half of least distance, by a histogram of distances, gives the next mean and covariance, until no
   determinant gets less; of all starts the estimate with the least determinant stays. So junk may be almost half of a group;
 * the result is scaled to be consistent for normal data, and reweighted once by the documents within the 97.5 % point;
+* a source's estimates are drawn to its language's as if SHRINK documents of it had these: a small source is judged almost as
+  its language is, a large one by itself, and no size changes that at once;
 * a document is rejected if its squared Mahalanobis distance is above CUT.
 
-Groups under LEAST documents are taken together by language. Only sums and histograms by group are shuffled.
+Only sums and histograms by group are shuffled.
 """
 
 from __future__ import annotations
@@ -17,14 +20,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.llm.shared import kept, let, small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-UNIT, DIMS, LEAST = 512, 4, 50
+UNIT, DIMS, SHRINK = 512, 4, 100
 #: 50 % (the share of a large group in the C-steps) and 97.5 % points of chi-squared with 4 degrees of freedom.
 CHI_50, CHI_975 = 3.3567, 11.143
 #: 0.5 / P(chi-squared with 6 degrees of freedom <= CHI_50), and likewise for 97.5 %.
@@ -66,25 +69,39 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 PAIRS = [(i, j) for i in range(1, DIMS + 1) for j in range(1, i + 1)]
+X, M, C = [f"x{i}" for i in range(1, DIMS + 1)], [f"m{i}" for i in range(1, DIMS + 1)], [f"c{i}{j}" for i, j in PAIRS]
+SUMS = ["n", *[f"s{i}" for i in range(1, DIMS + 1)], *[f"q{i}{j}" for i, j in PAIRS]]
 
 
-def moments(rows: DataFrame, scale: float) -> DataFrame:
-    """Per g: n, means m1.., and the Cholesky factor l11, l21.. of the covariance times scale, plus the floors."""
-    sums = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(1, DIMS + 1)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS])
-    df = sums.select("g", "n", *[(F.col(f"s{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(1, DIMS + 1)], *[f"q{i}{j}" for i, j in PAIRS])
-    cov = lambda i, j: scale * (F.col(f"q{i}{j}") / F.col("n") / UNIT**2 - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOOR[i - 1] ** 2 if i == j else 0)
-    df = df.select("g", "n", *[f"m{i}" for i in range(1, DIMS + 1)], *[cov(i, j).alias(f"c{i}{j}") for i, j in PAIRS])
-    for i, j in PAIRS:  # the diagonal of a row comes last
-        rest = F.col(f"c{i}{j}")
-        for k in range(1, j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i - 1] ** 2 / 100))) if i == j else rest / F.col(f"l{j}{j}"))
-    return df.select("g", *[f"m{i}" for i in range(1, DIMS + 1)], *[f"l{i}{j}" for i, j in PAIRS])
+def sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per key the number of rows and the sums of their statistics and products, which are exact."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(1, DIMS + 1)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS])
 
 
-def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows with d2, the squared distance by their group's estimates."""
-    df = rows.join(small(estimates), "g", "left")
+def moments(found: DataFrame, scale: float, *keys: str) -> DataFrame:
+    """Of sums: n, means m1.., and the covariances c11, c21.. times scale, plus the floors."""
+    cov = lambda i, j: scale * (F.col(f"q{i}{j}") / F.col("n") / UNIT**2 - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOOR[i - 1] ** 2 if i == j else 0.0)
+    df = found.select(*keys, "n", *[(F.col(f"s{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(1, DIMS + 1)], *[f"q{i}{j}" for i, j in PAIRS])
+    return df.select(*keys, "n", *M, *[cov(i, j).alias(f"c{i}{j}") for i, j in PAIRS])
+
+
+def factored(estimates: DataFrame) -> DataFrame:
+    """With the Cholesky factor l11, l21.. of the covariances, and its determinant. Each entry is named once and used by the
+    next ones; as columns, Catalyst would write out their formulas within each other."""
+    names = [f"l{i}{j}" for i, j in PAIRS]
+    det = " * ".join(f"l{i}{i}" for i in range(1, DIMS + 1))
+    sql = f"named_struct({', '.join(f"'{n}', {n}" for n in names)}, 'det', {det})"
+    for i, j in reversed(PAIRS):  # the diagonal of a row comes last
+        rest = f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(1, j))
+        value = f"sqrt(greatest({rest}, {FLOOR[i - 1] ** 2 / 100!r}D))" if i == j else f"({rest}) / l{j}{j}"
+        sql = f"transform(array({value}), l{i}{j} -> {sql})" if (i, j) == PAIRS[0] else let(f"l{i}{j}", value, sql)
+    return estimates.select("*", F.expr(f"inline({sql})"))
+
+
+def distances(rows: DataFrame, estimates: DataFrame, how: str = "left") -> DataFrame:
+    """rows with d2, the squared distance by the estimates of their g (and of its starts, if they tell those)."""
+    starts = [c for c in ("start", "det") if c in estimates.columns]
+    df = rows.join(small(estimates), "g", how)
     total = F.lit(0.0)
     for i in range(1, DIMS + 1):
         y = F.col(f"x{i}") / UNIT - F.col(f"m{i}")
@@ -92,58 +109,74 @@ def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
             y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
         df = df.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
         total = total + F.col(f"y{i}") * F.col(f"y{i}")
-    return df.withColumn("d2", total).select(*rows.columns, "d2")
+    return df.withColumn("d2", total).select(*rows.columns, *starts, "d2")
 
 
-def nearest(rows: DataFrame) -> DataFrame:
-    """The rows of each group up to the least sixteenth of a power of two of d2 that has (n + DIMS + 1) / 2 of its n rows, or all."""
-    binned = rows.withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-10) * 16))
-    counts = binned.groupBy("g", "bin").count()
-    upto = Window.partitionBy("g").orderBy("bin")
-    cut = counts.withColumn("upto", F.sum("count").over(upto)).withColumn("all", F.sum("count").over(Window.partitionBy("g")))
-    cut = cut.filter(2 * F.col("upto") >= F.least(2 * F.col("all"), F.col("all") + DIMS + 1)).groupBy("g").agg(F.min("bin").alias("cut"))
-    return binned.join(small(written(cut, "outliers-cut")), "g").filter("bin <= cut").drop("bin", "cut")
+def c_step(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """The estimates by the half that is nearest to those of now, where their determinants are less. A half are the rows up to
+    the least sixteenth of a power of two of d2 that has (n + DIMS + 1) / 2 of n rows, or all."""
+    binned = distances(rows, now, "inner").withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-10) * 16))
+    found = sums(binned, "g", "start", "det", "bin")
+    each = Window.partitionBy("g", "start", "det")
+    found = found.withColumn("before", F.sum("n").over(each.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("all", F.sum("n").over(each))
+    found = found.filter(2 * F.col("before") < F.least(2 * F.col("all"), F.col("all") + DIMS + 1))
+    half = found.groupBy("g", "start", F.col("det").alias("was")).agg(*[F.sum(c).alias(c) for c in SUMS])
+    return factored(moments(half, CONSISTENT_50, "g", "start", "was")).filter("det < was").drop("was")
 
 
-def converged(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """C-steps for each g of estimates until its determinant doesn't get less; all estimates on the way, with det.
+def converged(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """C-steps for each start of each g until its determinant doesn't get less; all estimates on the way.
 
     A step's sums are exact and determinants only get less, so none comes twice and the steps end.
     """
-    det = math.prod([F.col(f"l{i}{i}") for i in range(2, DIMS + 1)], start=F.col("l11"))
-    now = written(estimates.withColumn("det", F.lit(math.inf)), "outliers-mcd")
-    steps = [now]
-    while not now.isEmpty():
-        step = moments(nearest(distances(rows, now).filter("d2 IS NOT NULL")), CONSISTENT_50).withColumn("det", det)
-        before = now.select("g", F.col("det").alias("before"))
-        now = written(step.join(small(before), "g").filter(F.col("det") < F.col("before")).drop("before"), "outliers-mcd")
+    now = written(factored(starts).withColumn("det", F.lit(math.inf)), "outliers-mcd")
+    steps = []
+    while True:
+        now = written(c_step(rows, now), "outliers-mcd")
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, steps) if steps else now
         steps.append(now)
-    return reduce(DataFrame.unionByName, steps)
+
+
+def drawn(estimates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """estimates with those of pairs (g, lang_g) drawn to their languages' and factored; a pair without one has its language's."""
+    own = lambda c: (F.coalesce("n", F.lit(0)) * F.coalesce(c, F.lit(0.0)) + SHRINK * F.col(f"{c}_")) / (F.coalesce("n", F.lit(0)) + SHRINK)
+    lang = estimates.select(F.col("g").alias("lang_g"), *[F.col(c).alias(f"{c}_") for c in (*M, *C)])
+    df = pairs.join(estimates, "g", "left").join(lang, "lang_g").select("g", "n", *[own(c).alias(c) for c in (*M, *C)])
+    return factored(df.unionByName(estimates.join(pairs.select("g"), "g", "left_anti").select("g", "n", *M, *C)))
 
 
 def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """Per row: doc_id, n_words, the four counts, base_failed, d2 (squared distance), kept.
+    """Per row: doc_id, n_words, the four counts, base_failed, kept, d2 (squared distance).
 
     A null text has no words and fails the base. Null languages and sources are values of their own. Rows of equal
-    doc_id are judged each by itself. Rows that fail the base take no part in the estimates. An empty table gives an
-    empty result. Columns other than doc_id, text, lang and source aren't read.
+    doc_id, and repeated rows, are judged each by itself, and each counts in the estimates; statistics that tie for the
+    nearest half are all in it. Rows that fail the base take no part in the estimates. Texts of any length are taken whole.
+    An empty table gives an empty result. Columns other than doc_id, text, lang and source aren't read.
     """
     df = statistics(docs).withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
-    df = kept(df)
-    pair, lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
-    many = written(df.filter("NOT base_failed").groupBy(pair.alias("pair")).count().filter(F.col("count") >= LEAST).select("pair"), "outliers-groups")
-    rows = df.withColumn("pair", pair).join(small(many.withColumn("own", F.lit(True))), "pair", "left")
-    rows = rows.withColumn("g", F.when(F.col("own"), F.col("pair")).otherwise(lang)).drop("pair", "own")
-    fit = rows.filter("NOT base_failed").select("g", *[f"x{i}" for i in range(1, DIMS + 1)])
+    pair, lang = F.to_json(F.struct("source", "lang")), F.to_json(F.struct("lang"))
+    rows = kept(df.withColumn("g", pair).withColumn("lang_g", lang).drop("lang", "source"))
+    fit = rows.filter("NOT base_failed").select(F.explode(F.array("g", "lang_g")).alias("g"), *X)
+    pairs = written(rows.filter("NOT base_failed").select("g", "lang_g").distinct(), "outliers-groups")
     # medians of whole numbers: their counts by value are what is merged
-    start = written(fit.groupBy("g").agg(*[F.percentile(f"x{i}", 0.5).alias(f"c{i}") for i in range(1, DIMS + 1)]), "outliers-start")
-    apart = fit.join(small(start), "g").groupBy("g").agg(*[F.first(f"c{i}").alias(f"c{i}") for i in range(1, DIMS + 1)], *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5).alias(f"a{i}") for i in range(1, DIMS + 1)])
-    estimates = apart.select("g", *[(F.col(f"c{i}") / UNIT).alias(f"m{i}") for i in range(1, DIMS + 1)], *[F.greatest(1.4826 * F.col(f"a{i}") / UNIT, F.lit(FLOOR[i - 1])).alias(f"l{i}{j}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for i, j in PAIRS])
-    starts = estimates.withColumn("g", F.concat(F.lit("0"), "g")).unionByName(moments(fit, 1.0).withColumn("g", F.concat(F.lit("1"), "g")))
-    found = converged(fit.withColumn("g", F.explode(F.array(F.concat(F.lit("0"), "g"), F.concat(F.lit("1"), "g")))), starts)
-    least = F.min_by(F.struct(*[c for c in found.columns if c not in ("g", "det")]), F.struct("det", "g"))
-    estimates = found.groupBy(F.expr("substring(g, 2)").alias("g")).agg(least.alias("e")).select("g", "e.*")
-    within = distances(fit, written(estimates, "outliers-mcd")).filter(F.col("d2") <= CHI_975)
-    estimates = written(moments(within, CONSISTENT_975), "outliers-mcd")
-    df = distances(rows, estimates)
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut)).alias("kept"))
+    middle = written(fit.groupBy("g").agg(*[F.percentile(x, 0.5).alias(f"p{x}") for x in X]), "outliers-start")
+    apart = fit.join(small(middle), "g")
+    spread = written(apart.groupBy("g").agg(*[F.first(f"p{x}").alias(f"p{x}") for x in X], *[F.percentile(F.abs(F.col(x) - F.col(f"p{x}")), 0.5).alias(f"a{x}") for x in X]), "outliers-start")
+    scale = {x: F.greatest(1.4826 * F.col(f"a{x}") / UNIT, F.lit(f)) for x, f in zip(X, FLOOR, strict=True)}
+    at = [(F.col(f"p{x}") / UNIT).alias(m) for x, m in zip(X, M, strict=True)]
+    first = spread.select("g", F.lit(0).alias("start"), *at, *[(scale[f"x{i}"] * scale[f"x{i}"] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
+    second = moments(sums(fit, "g"), 1.0, "g").select("g", F.lit(1).alias("start"), *M, *C)
+    signs = fit.join(small(spread), "g").select("*", *[((F.col(x) - F.col(f"p{x}")) / UNIT / scale[x]).alias(f"z{x}") for x in X])
+    # signs as whole numbers too, so that their sums are exact
+    length = F.sqrt(reduce(Column.__add__, [F.col(f"z{x}") * F.col(f"z{x}") for x in X]))
+    signs = signs.withColumn("length", length).select("*", *[F.when(F.col("length") > 0, F.round(F.col(f"z{x}") / F.col("length") * UNIT)).otherwise(0).cast("long").alias(f"u{x}") for x in X])
+    mean = signs.groupBy("g").agg(F.count("*").alias("k"), *[F.first(f"p{x}").alias(f"p{x}") for x in X], *[F.first(f"a{x}").alias(f"a{x}") for x in X], *[F.sum(F.col(f"ux{i}") * F.col(f"ux{j}")).alias(f"u{i}{j}") for i, j in PAIRS])
+    third = mean.select("g", F.lit(2).alias("start"), *at, *[(DIMS * F.col(f"u{i}{j}") / F.col("k") / UNIT**2 * scale[f"x{i}"] * scale[f"x{j}"] + (FLOOR[i - 1] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
+    found = converged(fit, first.unionByName(second).unionByName(third))
+    best = found.groupBy("g").agg(F.min_by(F.struct("n", *M, *C), F.struct("det", "start")).alias("e")).select("g", "e.*")
+    raw = written(drawn(best, pairs), "outliers-mcd")
+    within = written(moments(sums(distances(fit, raw).filter(F.col("d2") <= CHI_975), "g"), CONSISTENT_975, "g"), "outliers-mcd")
+    df = distances(rows, written(drawn(within, pairs), "outliers-mcd"))
+    kept_ = (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut)).alias("kept")
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept_, "d2")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folium.llm import decontaminate, html_text, jaccard_join, language_id, mixing, outliers, pseudonyms, secrets, token_files, toxicity
 from folium.llm.shared import shared_folder, table
+from folium.llm.sql import outliers_sql
 
 #: The id that ends a document, and the tokenizer's file.
 END_ID, TOKENIZER = 1, "word_bpe_49k.json"
@@ -86,7 +87,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outliers.judge(table(spark, sf_dir, "documents"))
+    return outliers.judge(table(spark, sf_dir, "documents")).drop("d2")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,4 +180,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pseudonyms": op10_pseudonyms,
 }
-SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_mixing": OP4_SQL, "op5_secrets": OP5_SQL, "op9_jaccard_join": OP9_SQL}
+SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_mixing": OP4_SQL, "op5_secrets": OP5_SQL, "op8_outliers": outliers_sql(), "op9_jaccard_join": OP9_SQL}
