@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.shared import kept, let, small, written
@@ -75,14 +75,14 @@ SUMS = ["n", *[f"s{i}" for i in range(1, DIMS + 1)], *[f"q{i}{j}" for i, j in PA
 
 def sums(rows: DataFrame, *keys: str) -> DataFrame:
     """Per key the number of rows and the sums of their statistics and products, which are exact."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(1, DIMS + 1)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS])
+    parts = ["count(*) AS n", *[f"sum(x{i}) AS s{i}" for i in range(1, DIMS + 1)], *[f"sum(x{i} * x{j}) AS q{i}{j}" for i, j in PAIRS]]
+    return rows.groupBy(*keys).agg(*map(F.expr, parts))
 
 
 def moments(found: DataFrame, scale: float, *keys: str) -> DataFrame:
     """Of sums: n, means m1.., and the covariances c11, c21.. times scale, plus the floors."""
-    cov = lambda i, j: scale * (F.col(f"q{i}{j}") / F.col("n") / UNIT**2 - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOOR[i - 1] ** 2 if i == j else 0.0)
-    df = found.select(*keys, "n", *[(F.col(f"s{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(1, DIMS + 1)], *[f"q{i}{j}" for i, j in PAIRS])
-    return df.select(*keys, "n", *M, *[cov(i, j).alias(f"c{i}{j}") for i, j in PAIRS])
+    df = found.selectExpr(*keys, "n", *[f"s{i} / n / {UNIT} AS m{i}" for i in range(1, DIMS + 1)], *[f"q{i}{j}" for i, j in PAIRS])
+    return df.selectExpr(*keys, "n", *M, *[f"{scale}D * (q{i}{j} / n / {UNIT**2} - m{i} * m{j}) + {FLOOR[i - 1] ** 2 if i == j else 0.0!r}D AS c{i}{j}" for i, j in PAIRS])
 
 
 def factored(estimates: DataFrame) -> DataFrame:
@@ -102,26 +102,20 @@ def distances(rows: DataFrame, estimates: DataFrame, how: str = "left") -> DataF
     """rows with d2, the squared distance by the estimates of their g (and of its starts, if they tell those)."""
     starts = [c for c in ("start", "det") if c in estimates.columns]
     df = rows.join(small(estimates), "g", how)
-    total = F.lit(0.0)
     for i in range(1, DIMS + 1):
-        y = F.col(f"x{i}") / UNIT - F.col(f"m{i}")
-        for k in range(1, i):
-            y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        df = df.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-        total = total + F.col(f"y{i}") * F.col(f"y{i}")
-    return df.withColumn("d2", total).select(*rows.columns, *starts, "d2")
+        df = df.selectExpr("*", f"(x{i} / {UNIT}D - m{i}{''.join(f' - l{i}{k} * y{k}' for k in range(1, i))}) / l{i}{i} AS y{i}")
+    return df.selectExpr(*rows.columns, *starts, " + ".join(f"y{i} * y{i}" for i in range(1, DIMS + 1)) + " AS d2")
 
 
 def c_step(rows: DataFrame, now: DataFrame) -> DataFrame:
     """The estimates by the half that is nearest to those of now, where their determinants are less. A half are the rows up to
     the least sixteenth of a power of two of d2 that has (n + DIMS + 1) / 2 of n rows, or all."""
-    binned = distances(rows, now, "inner").withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-10) * 16))
+    binned = distances(rows, now, "inner").selectExpr("*", f"floor(log2(d2 + {2.0**-10!r}D) * 16) AS bin")
     found = sums(binned, "g", "start", "det", "bin")
-    each = Window.partitionBy("g", "start", "det")
-    found = found.withColumn("before", F.sum("n").over(each.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("all", F.sum("n").over(each))
-    found = found.filter(2 * F.col("before") < F.least(2 * F.col("all"), F.col("all") + DIMS + 1))
-    half = found.groupBy("g", "start", F.col("det").alias("was")).agg(*[F.sum(c).alias(c) for c in SUMS])
-    return factored(moments(half, CONSISTENT_50, "g", "start", "was")).filter("det < was").drop("was")
+    each = "OVER (PARTITION BY g, start, det"
+    found = found.selectExpr("*", f"sum(n) {each} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before", f"sum(n) {each}) AS all_")
+    half = found.filter(f"2 * before < least(2 * all_, all_ + {DIMS + 1})").groupBy("g", "start", "det").agg(*[F.expr(f"sum({c}) AS {c}") for c in SUMS])
+    return factored(moments(half.withColumnRenamed("det", "was"), CONSISTENT_50, "g", "start", "was")).filter("det < was").drop("was")
 
 
 def converged(rows: DataFrame, starts: DataFrame) -> DataFrame:
@@ -140,9 +134,9 @@ def converged(rows: DataFrame, starts: DataFrame) -> DataFrame:
 
 def drawn(estimates: DataFrame, pairs: DataFrame) -> DataFrame:
     """estimates with those of pairs (g, lang_g) drawn to their languages' and factored; a pair without one has its language's."""
-    own = lambda c: (F.coalesce("n", F.lit(0)) * F.coalesce(c, F.lit(0.0)) + SHRINK * F.col(f"{c}_")) / (F.coalesce("n", F.lit(0)) + SHRINK)
-    lang = estimates.select(F.col("g").alias("lang_g"), *[F.col(c).alias(f"{c}_") for c in (*M, *C)])
-    df = pairs.join(estimates, "g", "left").join(lang, "lang_g").select("g", "n", *[own(c).alias(c) for c in (*M, *C)])
+    own = lambda c: f"(coalesce(n, 0) * coalesce({c}, 0D) + {SHRINK} * {c}_) / (coalesce(n, 0) + {SHRINK}) AS {c}"
+    lang = estimates.selectExpr("g AS lang_g", *[f"{c} AS {c}_" for c in (*M, *C)])
+    df = pairs.join(estimates, "g", "left").join(lang, "lang_g").selectExpr("g", "n", *map(own, (*M, *C)))
     return factored(df.unionByName(estimates.join(pairs.select("g"), "g", "left_anti").select("g", "n", *M, *C)))
 
 
@@ -163,16 +157,16 @@ def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     middle = written(fit.groupBy("g").agg(*[F.percentile(x, 0.5).alias(f"p{x}") for x in X]), "outliers-start")
     apart = fit.join(small(middle), "g")
     spread = written(apart.groupBy("g").agg(*[F.first(f"p{x}").alias(f"p{x}") for x in X], *[F.percentile(F.abs(F.col(x) - F.col(f"p{x}")), 0.5).alias(f"a{x}") for x in X]), "outliers-start")
-    scale = {x: F.greatest(1.4826 * F.col(f"a{x}") / UNIT, F.lit(f)) for x, f in zip(X, FLOOR, strict=True)}
-    at = [(F.col(f"p{x}") / UNIT).alias(m) for x, m in zip(X, M, strict=True)]
-    first = spread.select("g", F.lit(0).alias("start"), *at, *[(scale[f"x{i}"] * scale[f"x{i}"] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
-    second = moments(sums(fit, "g"), 1.0, "g").select("g", F.lit(1).alias("start"), *M, *C)
-    signs = fit.join(small(spread), "g").select("*", *[((F.col(x) - F.col(f"p{x}")) / UNIT / scale[x]).alias(f"z{x}") for x in X])
+    scale = {i: f"greatest(1.4826D * ax{i} / {UNIT}, {f!r}D)" for i, f in enumerate(FLOOR, 1)}
+    at = [f"px{i} / {UNIT} AS m{i}" for i in range(1, DIMS + 1)]
+    first = spread.selectExpr("g", "0 AS start", *at, *[f"{scale[i]} * {scale[i]} AS c{i}{j}" if i == j else f"0D AS c{i}{j}" for i, j in PAIRS])
+    second = moments(sums(fit, "g"), 1.0, "g").selectExpr("g", "1 AS start", *M, *C)
+    signs = fit.join(small(spread), "g").selectExpr("*", *[f"(x{i} - px{i}) / {UNIT} / {scale[i]} AS z{i}" for i in range(1, DIMS + 1)])
     # signs as whole numbers too, so that their sums are exact
-    length = F.sqrt(reduce(Column.__add__, [F.col(f"z{x}") * F.col(f"z{x}") for x in X]))
-    signs = signs.withColumn("length", length).select("*", *[F.when(F.col("length") > 0, F.round(F.col(f"z{x}") / F.col("length") * UNIT)).otherwise(0).cast("long").alias(f"u{x}") for x in X])
-    mean = signs.groupBy("g").agg(F.count("*").alias("k"), *[F.first(f"p{x}").alias(f"p{x}") for x in X], *[F.first(f"a{x}").alias(f"a{x}") for x in X], *[F.sum(F.col(f"ux{i}") * F.col(f"ux{j}")).alias(f"u{i}{j}") for i, j in PAIRS])
-    third = mean.select("g", F.lit(2).alias("start"), *at, *[(DIMS * F.col(f"u{i}{j}") / F.col("k") / UNIT**2 * scale[f"x{i}"] * scale[f"x{j}"] + (FLOOR[i - 1] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
+    signs = signs.selectExpr("*", f"sqrt({' + '.join(f'z{i} * z{i}' for i in range(1, DIMS + 1))}) AS len")
+    signs = signs.selectExpr("*", *[f"IF(len > 0, CAST(round(z{i} / len * {UNIT}) AS bigint), 0L) AS u{i}" for i in range(1, DIMS + 1)])
+    mean = signs.groupBy("g").agg(*map(F.expr, ["count(*) AS k", *[f"first({c}{x}) AS {c}{x}" for x in X for c in "pa"], *[f"sum(u{i} * u{j}) AS u{i}{j}" for i, j in PAIRS]]))
+    third = mean.selectExpr("g", "2 AS start", *at, *[f"{DIMS} * u{i}{j} / k / {UNIT**2} * {scale[i]} * {scale[j]} + {FLOOR[i - 1] ** 2 if i == j else 0.0!r}D AS c{i}{j}" for i, j in PAIRS])
     found = converged(fit, first.unionByName(second).unionByName(third))
     best = found.groupBy("g").agg(F.min_by(F.struct("n", *M, *C), F.struct("det", "start")).alias("e")).select("g", "e.*")
     raw = written(drawn(best, pairs), "outliers-mcd")
