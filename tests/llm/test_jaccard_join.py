@@ -17,27 +17,30 @@ def shingles(text: str | None) -> frozenset:
 
 
 def brute(rows):
-    sets = {i: shingles(t) for i, t in rows}
-    parent = {i: i for i in sets}
+    """Of rows (doc_id, text): sorted (doc_id, n_shingles, component_id), every row a document."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            x, y = sets[a], sets[b]
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
             if x and y and 0.85 <= min(len(x), len(y)) / max(len(x), len(y)) and 100 * (c := len(x & y)) >= 85 * (len(x) + len(y) - c):
                 a0, b0 = find(a), find(b)
                 parent[max(a0, b0)] = min(a0, b0)
-    return {(i, len(sets[i]), find(i)) for i in sets}
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        r = find(k)
+        least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
+    return sorted(((i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows)), key=repr)
 
 
 def check(documents, rows):
     got = jaccard_join.join(documents([(i, t, "en", "s") for i, t in rows])).collect()
-    assert {tuple(r) for r in got} == brute([r for r in rows if r[0] is not None])
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
     return got
 
 
@@ -50,9 +53,9 @@ def edited(text: str, edits: int, r: random.Random) -> str:
 
 
 def test_small_cases(spark, documents):
-    rows = [(1, "a b c"), (0, "A  b\tC"), (2, "a b"), (3, ""), (4, None), (5, " \n"), (6, "a b c d"), (7, "a b c d"), (8, "a b c d e"), (9, "d e f g " * 30), (10, "d e f g " * 31), (11, "é É"), (12, "É É"), (13, prose(20_000, 3)), (14, prose(19_500, 3)), (-4, "a b c"), (None, "a b c")]
+    rows = [(None, "a b c d"), (None, "z y x w v"), (None, "z y x w v"), (50, "u u u u u"), (50, "t t t t t"), (51, "T t t t t"), (None, ""), (1, "a b c"), (0, "A  b\tC"), (2, "a b"), (3, ""), (4, None), (5, " \n"), (6, "a b c d"), (7, "a b c d"), (8, "a b c d e"), (9, "d e f g " * 30), (10, "d e f g " * 31), (11, "é É"), (12, "É É"), (13, prose(20_000, 3)), (14, prose(19_500, 3)), (-4, "a b c"), (None, "a b c")]
     got = check(documents, rows + [(1, "a b c")])
-    assert len(got) == 17
+    assert len(got) == 25
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -69,6 +72,9 @@ def test_edited_copies(spark, documents, seed):
 def test_large_group(spark, documents, monkeypatch):
     """One text's copies with more and more edits: many link only to some others, so that groups are worked on in cells."""
     monkeypatch.setattr(jaccard_join, "CELL", (7, 11))
+    monkeypatch.setattr(jaccard_join, "CELLS", 2)
+    monkeypatch.setattr(jaccard_join, "ROWS", 300)
+    monkeypatch.setattr(jaccard_join, "LARGE", 2)
     r = random.Random(4)
     text = prose(140, 11)
     chain = [text]
@@ -103,7 +109,7 @@ def test_cells_find_all_links():
     diffs = [sorted(s ^ base) for s in members]
     linked = [100 * len(s & base) >= 85 * len(s | base) for s in members]
     starts = np.cumsum([0, *map(len, diffs)])
-    group = pa.table({"doc_id": range(80), "n": [len(s) for s in members], "linked": linked, "diff": jaccard_join.longs(np.array(sum(diffs, []), np.int64), starts), "mine": [not x for x in linked], "other": [True] * 80})
+    group = pa.table({"doc_id": range(80), "n": [len(s) for s in members], "label": [99 if x else k for k, x in enumerate(linked)], "diff": jaccard_join.longs(np.array(sum(diffs, []), np.int64), starts), "mine": [not x for x in linked], "other": [True] * 80})
     edges = jaccard_join._cell(group)
     parent = {k: k for k in range(81)}
 
@@ -121,6 +127,49 @@ def test_cells_find_all_links():
                 assert find(a) == find(b)
 
 
+def test_rounds_of_leaders(spark, documents, monkeypatch):
+    """Clusters that share their rare words, so that one leader leads all: near copies of several texts that differ from each
+    other by more than a link allows, some bridged by texts in between."""
+    monkeypatch.setattr(jaccard_join, "CELL", (4, 8))
+    monkeypatch.setattr(jaccard_join, "CELLS", 1)
+    r = random.Random(5)
+    base = prose(120, 21)
+    rows = []
+    for c in range(6):
+        middle = edited(base, 5 + c, r)
+        rows += [edited(middle, r.randrange(4), r) for _ in range(25)]
+    check(documents, list(enumerate(rows)))
+
+
+def test_position_bounds():
+    """A pair is skipped only if it can't link, and blocks never part sets that link."""
+    import numpy as np
+
+    r = random.Random(9)
+    for _ in range(300):
+        n = r.randint(5, 60)
+        a = set(range(n))
+        b = set(a)
+        for _ in range(r.randrange(0, 8)):
+            b.symmetric_difference_update({r.randrange(n + 8)})
+        x, y = sorted(a), sorted(b)
+        if 100 * len(a & b) >= 85 * len(a | b):
+            rows = [(t, len(z), z.index(t)) for t in sorted(a & b) for z in (x, y)]
+            rows.sort(key=lambda v: v[:2])
+            token, size, pos = (np.array(c) for c in zip(*rows, strict=True))
+            order, block = jaccard_join.blocks_of(token, size, pos)
+            assert all(len(set(block[token[order] == t])) == 1 for t in set(token))
+            assert jaccard_join.may_link(*(np.array([v]) for v in (len(x), x.index(rows[0][0]), len(y), y.index(rows[0][0]))))[0]
+
+
+def test_one_of_each(spark, documents):
+    rows = [(5, "a b c d e"), (3, "A b c d e"), (None, "a b c d e"), (7, "q r s t u"), (7, "q r s t u"), (8, None), (8, None), (None, "x x x x x y"), (None, "x x x x x y"), (9, "m n o p"), (9, "other words are here now")]
+    docs = documents([(i, t, "en", "s") for i, t in rows]).selectExpr("*", "1 AS node", "2 AS row", "3 AS first")
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(3, "A b c d e"), (7, "q r s t u"), (8, None), (8, None), (None, "x x x x x y"), (9, "m n o p"), (9, "other words are here now")], key=repr)
+
+
 def test_empty(spark, documents):
     assert jaccard_join.join(documents([]).limit(0)).collect() == []
     assert jaccard_join.join(documents(["", None])).count() == 2
