@@ -24,8 +24,8 @@ SYMBOLS = "#*$%&|<>"
 
 
 def uniform(seed: int) -> Column:
-    """From (0, 1), by seed and document id; DuckDB gives the same."""
-    head = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12)
+    """From (0, 1), by seed, document id and text, so that only identical rows share it; DuckDB gives the same."""
+    head = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))), 1, 12)
     return (F.conv(head, 16, 10).cast("double") + 0.5) / float(2**48)
 
 
@@ -64,20 +64,17 @@ def cut_part(parts: DataFrame, rests: DataFrame) -> DataFrame:
     return df.select("s", "rest", "part", "before")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, epochs, taken.
-
-    Null texts and texts without words have size 0 and are taken 0 words. A null source is a source. Rows of equal
-    doc_id are documents of their own; their order among themselves is by size. Weights are taken by the sources' order
-    by code point. The document at the end of a source's rest is taken if that brings the source nearer to its target.
-    An empty table gives an empty result. Columns other than doc_id, text and source are not read.
-    """
+def keyed(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """doc_id, source, size, key and slice of each row, and more columns."""
     text = F.col("text").cast("string")
     exponential = -F.log(uniform(seed)) / quality(text)
-    base = docs.select("doc_id", "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), exponential.alias("key"))
-    base = base.withColumn("slice", F.floor(F.col("key") / (1 + F.col("key")) * SLICES))
-    base = kept(base)
+    base = docs.select("doc_id", "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), exponential.alias("key"), *more)
+    return base.withColumn("slice", F.floor(F.col("key") / (1 + F.col("key")) * SLICES))
 
+
+def source_cuts(base: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
+    """Per source (t): source_size, target, full (its complete epochs), rest, and the slice where the rest ends (cut) with the
+    words before it."""
     coarse = written(base.groupBy("source", F.floor(F.col("slice") / FINE).alias("part")).agg(F.sum("size").alias("n")), "mix-slices")
     targets = source_targets(coarse.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     targets = targets.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -87,14 +84,39 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     inside = base.join(small(part.select("s", F.col("part").alias("coarse"))), F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("slice") / FINE) == F.col("coarse")))
     fine = inside.groupBy("source", F.col("slice").alias("part")).agg(F.sum("size").alias("n"))
     cuts = cut_part(fine, part.select("s", "rest", F.col("before").alias("start"))).select("s", F.col("part").alias("cut"), F.col("before").alias("cut_before"))
-    targets = targets.withColumnRenamed("source", "t").join(cuts, F.col("t").eqNullSafe(F.col("s")), "left").drop("s")
-    df = base.join(small(targets), F.col("source").eqNullSafe(F.col("t")))
-    # documents beside the cut slice are decided alone; those in it by a prefix sum
+    return written(targets.withColumnRenamed("source", "t").join(cuts, F.col("t").eqNullSafe(F.col("s")), "left").drop("s"), "mix-cuts")
+
+
+def with_epochs(base: DataFrame, cuts: DataFrame) -> DataFrame:
+    """base with its sources' values and epochs, how often each row is taken. Rows beside the cut slice are decided alone,
+    those in it by a prefix sum."""
+    df = base.join(small(cuts), F.col("source").eqNullSafe(F.col("t")))
     in_cut = F.col("slice") == F.col("cut")
     key = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = df.filter(in_cut).withColumn("sum", F.col("cut_before") + F.coalesce(F.sum("size").over(key), F.lit(0)))
     edge = edge.withColumn("extra", (F.col("rest") - F.col("sum") >= F.col("size") / 2).cast("long"))
     plain = df.filter(F.coalesce(~in_cut, F.lit(True))).withColumn("sum", F.lit(0).cast("long"))
     plain = plain.withColumn("extra", F.coalesce((F.col("slice") < F.col("cut")).cast("long"), F.lit(0).cast("long")))
-    both = plain.unionByName(edge).withColumn("epochs", F.col("full") + F.col("extra"))
-    return both.select("doc_id", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
+    return plain.unionByName(edge).withColumn("epochs", F.col("full") + F.col("extra"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, taken, epochs.
+
+    Null texts and texts without words have size 0 and are taken 0 words. A null source is a source. Rows of equal
+    doc_id, or without one, are documents of their own; rows that are identical share a key, and their order among
+    themselves doesn't matter. Weights are taken by the sources' order by code point. The document at the end of a source's rest
+    is taken if that brings the source nearer to its target, so one very long document may miss it by half its size.
+    An empty table gives an empty result. Columns other than doc_id, text and source are not read.
+    """
+    base = kept(keyed(docs, seed))
+    both = with_epochs(base, source_cuts(base, weights, share, most))
+    return both.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).cast("long").alias("taken"), "epochs")
+
+
+def repeated(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as mix() takes it. Rows aren't shuffled, but for those in the slices
+    where sources' rests end: the others are decided where they are read."""
+    cuts = source_cuts(kept(keyed(docs, seed)), weights, share, most)
+    df = with_epochs(keyed(docs, seed, F.struct(*docs.columns).alias("row")), cuts).filter("epochs > 0")
+    return df.select("row", F.explode(F.expr("sequence(1, CAST(epochs AS int))"))).select("row.*")

@@ -54,7 +54,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         -ln((('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+         -ln((('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
            / CASE WHEN length(text) > 0
                   THEN greatest(0.05, 1.0 - 4 * (length(text) - length(translate(text, '#*$%&|<>', '')))::DOUBLE / length(text))
                   ELSE 0.05 END AS key
@@ -69,10 +69,11 @@ r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGI
 k AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.epochs, r.target - r.epochs * r.source_size AS rest,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, size, source_size, target, epochs + (source_size > 0 AND rest - before >= size / 2.0)::BIGINT AS epochs,
-       ((epochs + (source_size > 0 AND rest - before >= size / 2.0)::BIGINT) * size)::BIGINT AS taken
+SELECT doc_id, size, source_size, target, ((epochs + (source_size > 0 AND rest - before >= size / 2.0)::BIGINT) * size)::BIGINT AS taken,
+       epochs + (source_size > 0 AND rest - before >= size / 2.0)::BIGINT AS epochs
 FROM k"""
 
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -100,17 +101,17 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Every window of every item against every place of its length, and the words under them counted once.
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 v AS (SELECT item_id, least(10, len(w)) AS k, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0),
 q AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM v),
-p AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k),
-h AS (SELECT p.doc_id, p.i, p.k, q.item_id FROM p JOIN q ON q.k = p.k AND q.win = array_to_string(p.w[p.i:p.i + p.k - 1], ' ')),
-c AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM h) GROUP BY doc_id),
-s AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+p AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k),
+h AS (SELECT p.r, p.i, p.k, q.item_id FROM p JOIN q ON q.k = p.k AND q.win = array_to_string(p.w[p.i:p.i + p.k - 1], ' ')),
+c AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + k)) AS place FROM h) GROUP BY r),
+s AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
 SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(s.n, 0)::BIGINT AS n_items,
        sha256(coalesce(s.ids, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
+FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r)"""
 
 _LETTER = {c: f"[{c.upper()}{c}]" for c in "abcdefghijklmnopqrstuvwxyz"}
 _ASSIGN = "(" + "|".join("".join(_LETTER.get(c, c) for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""

@@ -34,7 +34,7 @@ def brute(docs, items):
 def check(spark, documents, docs, items):
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS doc_id", "2 AS hash")
     got = decontaminate.digest(decontaminate.decontaminate(documents([(i, t, None, None) for i, t in docs]), bench)).collect()
-    assert sorted(map(tuple, got)) == sorted(brute(docs, items))
+    assert sorted(map(tuple, got), key=repr) == sorted(brute(docs, items), key=repr)
 
 
 def test_against_brute_force(spark, documents):
@@ -57,7 +57,16 @@ def test_empty_tables(spark, documents):
     check(spark, documents, [(1, "a b c")], [])
 
 
-def test_repeated_rows_count_once(spark, documents):
-    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
-    got = decontaminate.decontaminate(documents([(1, "a b c", None, None), (1, "a b c", None, None)]), bench).collect()
-    assert [tuple(r) for r in got] == [(1, 3, 3, ["1"])]
+def test_every_row_is_a_document(spark, documents):
+    items = [(1, "a b c"), (2, "d e f")]
+    docs = [(1, "a b c"), (1, "a b c"), (1, "x d e f"), (None, "a b c d e f"), (None, "nothing"), (None, None), (None, "nothing"), (2, "a b")]
+    check(spark, documents, docs, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.clean(documents([(i, t, None, None) for i, t in docs]).selectExpr("*", "1 AS k1", "2 AS row"), bench)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == [(2, "a b"), (None, "nothing"), (None, "nothing"), (None, None)]
+
+
+def test_a_benchmark_too_large_to_broadcast(spark, documents, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BENCHMARK_ROWS", 3)
+    p = prose(40, 1)
+    check(spark, documents, [(0, p), (1, "x " + p[10:150] + " y"), (1, "other"), (None, p), (2, None), (3, prose(30, 4))], [(1, p), (2, "short one"), (3, prose(30, 4)[:90])])
