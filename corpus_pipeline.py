@@ -1,44 +1,48 @@
-"""A corpus pipeline: each stage's rows are written and read again as the next one's documents."""
+"""A corpus pipeline: each stage's rows are written and read again as the next one's documents.
+
+Every row is a document, whatever its doc_id: rows without one, or with the same one, are judged by their own texts.
+All stages take whole texts of any length, keep extra columns, and give an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folium.llm import decontaminate, jaccard_join, language_id, mixing
 from folium.llm.queries import fold, token_ids
-from folium.llm.shared import release, small, table, written
-
+from folium.llm.shared import release, table, written
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in ids; rows with a null id stay."""
-    return docs.join(small(written(ids.select("doc_id"), "dropped")), "doc_id", "left_anti").select(docs.columns)
+#: Least share of a text's words that its language has. Of held-out documents about one in 1,000 is below; texts that switch
+#: between two languages half and half, and texts in none that was learned, mostly are.
+LEAST = 0.52
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known for sure stay."""
-    return language_id.accepted(docs, usable=fold(4) != 2, least=0.3)
+    """Documents with a language stay. Null texts and texts without letters go, as do texts of which no language has LEAST of
+    the words: switching ones, junk, unknown languages. Repeated rows fare alike; a tie of two languages is below LEAST."""
+    return language_id.accepted(docs, usable=fold(4) != 2, least=LEAST)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id stays of each group that the n-gram Jaccard join connects."""
-    return without(docs, jaccard_join.join(docs).filter("doc_id <> component_id"))
+    """One document stays of each group that the n-gram Jaccard join connects: that of least doc_id, those without one last; of
+    identical rows one. Null texts and texts without words are in no group and stay."""
+    return jaccard_join.one_of_each(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
-    return without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0"))
+    """Documents with a window of a benchmark item go; null and empty texts have none. Repeated rows fare alike."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it."""
-    times = mixing.mix(docs).groupBy("doc_id").agg(F.max("epochs").cast("int").alias("epochs")).filter("epochs > 0")
-    rows = docs.select(F.struct(*docs.columns).alias("row")).join(times, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("row.*")
+    """Each document as often as the mix of the sources takes it; null texts and texts without words have no size, and a null
+    source is a source. Identical rows tie and are taken one by one."""
+    return mixing.repeated(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in files, and per document where its ids begin, their number and checksum."""
+    """Token ids in files, and per document where its ids begin, their number and checksum. Null texts are empty; rows of equal
+    doc_id are in order of their texts, those without one first."""
     return token_ids(docs)
 
 
@@ -57,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        release()
+        release(but=docs)
     return docs
