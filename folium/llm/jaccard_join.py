@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.shared import BROADCAST_ROWS, broadcast, kept, lean, small, written
+from folium.llm.shared import BROADCAST_ROWS, broadcast, kept, lean, rows_of, small, written
 from folium.llm.wordbytes import SPACE, Words, chunks, mix
 
 SHINGLE, PERCENT = 4, 85
@@ -408,9 +408,9 @@ def links_within(differences: DataFrame) -> DataFrame:
     far, all_ = CELL
     counts = differences.groupBy("leader").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("far"))
     counts = written(counts.filter("far > 0 AND members > 1").withColumn("many", F.expr(f"ceil(far / {far}) * ceil(members / {all_}) > {CELLS}")), "jaccard-groups")
-    df = differences.join(small(counts.select("leader", "many")), "leader")
+    df = differences.join(small(counts.select("leader", "many"), of=counts), "leader")
     df = df.select(F.col("leader").alias("grp"), "doc_id", "n", "diff", F.expr("IF(linked, leader, doc_id)").alias("label"), F.expr("NOT linked").alias("row"), F.lit(True).alias("col"), "many")
-    if counts.filter("many").isEmpty():
+    if rows_of(counts) == 0 or counts.filter("many").isEmpty():
         return in_cells(df.drop("many"))
     members, edges, cross, before, k = written(df.filter("many").drop("many", "col"), "jaccard-members"), [], [], None, 0
     while True:  # row: open
@@ -428,7 +428,7 @@ def links_within(differences: DataFrame) -> DataFrame:
         apart = near.filter("near AND NOT row AND NOT is_p").join(touched, (near["grp"] == touched["grp"]) & (F.col("label") == F.col("t")), "left_anti")
         both = apart.select("p", "doc_id", "n", "diff", "label", F.lit(False).alias("row"), F.lit(True).alias("col")).unionByName(near.filter("is_p AND row").select("p", "doc_id", "n", "diff", F.col("p").alias("label"), F.lit(True).alias("row"), F.lit(False).alias("col")))
         cross.append(both.withColumnRenamed("p", "grp"))
-        stay = members.join(small(pivots.select("grp")), "grp", "left_anti").unionByName(near.select("grp", "doc_id", "n", "diff", F.expr("IF(is_p AND row, p, label)").alias("label"), F.expr("row AND NOT is_p").alias("row")))
+        stay = members.join(small(pivots.select("grp"), of=pivots), "grp", "left_anti").unionByName(near.select("grp", "doc_id", "n", "diff", F.expr("IF(is_p AND row, p, label)").alias("label"), F.expr("row AND NOT is_p").alias("row")))
         members = written(stay, "jaccard-members")
     cross = written(reduce(DataFrame.unionByName, cross), "jaccard-cross")
     rest = members.withColumn("col", F.lit(True)).unionByName(df.filter("NOT many").drop("many"))
@@ -481,7 +481,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = profile.filter("count IS NULL").select(F.col("doc_id").alias("node"), F.col("id").alias("doc_id"), "n", "sig1", "sig2")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first")
     classes = written(sizes.filter("n > 0").groupBy("sig1", "sig2").agg(F.min("node").alias("rep"), first, F.count("*").alias("rows")), "jaccard-classes")
-    copies = written(with_classes(sizes, classes.filter("rows > 1").select("sig1", "sig2", "rep", "rows")).filter("node <> rep").select("node"), "jaccard-copies")
+    copies = written(with_classes(sizes, written(classes.filter("rows > 1").select("sig1", "sig2", "rep", "rows"), "jaccard-several")).filter("node <> rep").select("node"), "jaccard-copies")
     low = profile.filter("count IS NULL AND n > 0").join(small(copies), F.col("doc_id") == F.col("node"), "left_anti").select("doc_id", "n", "low")
     frequent = broadcast(spark, frequent_shingles(profile.filter("count IS NOT NULL").select("doc_id", "count"), low))
     docs = docs.select("doc_id", "text")
@@ -503,7 +503,8 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_classes(sizes: DataFrame, classes: DataFrame) -> DataFrame:
     """sizes joined to classes by signature; those of classes with more than LARGE rows, of which there are few, by broadcast."""
     key, many = ["sig1", "sig2"], classes.filter(F.col("rows") > LARGE).drop("rows")
-    if classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    n = rows_of(classes)
+    if (classes.limit(BROADCAST_ROWS + 1).count() if n is None else n) <= BROADCAST_ROWS:
         return sizes.join(F.broadcast(classes.drop("rows")), key)
     rest = sizes.join(small(many.select(*key)), key, "left_anti").join(classes.filter(F.col("rows") <= LARGE).drop("rows"), key)
     return sizes.join(small(many), key).unionByName(rest)
@@ -525,7 +526,7 @@ def join(docs: DataFrame) -> DataFrame:
     """
     sizes, firsts = grouped(_prepared(docs))
     key = ["sig1", "sig2"]
-    plain = sizes.join(small(firsts.select(*key)), key, "left_anti").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    plain = sizes.join(small(firsts.select(*key), of=firsts), key, "left_anti").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return plain.unionByName(with_classes(sizes, firsts).select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id")))
 
 

@@ -55,11 +55,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     return df.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def cut_part(parts: DataFrame, rests: DataFrame) -> DataFrame:
+def cut_part(parts: DataFrame, rests: DataFrame, of: DataFrame) -> DataFrame:
     """(s, rest, part, before): of the parts (source, part, n) of each source's range, after `start` words, the one where the
-    sum passes the source's rest. At most some hundred rows a source are summed up."""
+    sum passes the source's rest. of: the written table of rests. At most some hundred rows a source are summed up."""
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    df = parts.withColumn("sum", F.coalesce(F.sum("n").over(before), F.lit(0))).join(small(rests), F.col("source").eqNullSafe(F.col("s")))
+    df = parts.withColumn("sum", F.coalesce(F.sum("n").over(before), F.lit(0))).join(small(rests, of=of), F.col("source").eqNullSafe(F.col("s")))
     df = df.withColumn("before", F.col("start") + F.col("sum")).filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")))
     return df.select("s", "rest", "part", "before")
 
@@ -80,10 +80,10 @@ def source_cuts(base: DataFrame, weights: Sequence[int], share: float, most: flo
     targets = targets.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = written(targets.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")), "mix-targets")
     start = targets.select(F.col("source").alias("s"), "rest", F.lit(0).cast("long").alias("start"))
-    part = written(cut_part(coarse, start), "mix-cuts")  # first among the coarse slices, then among those within
-    inside = base.join(small(part.select("s", F.col("part").alias("coarse"))), F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("slice") / FINE) == F.col("coarse")))
+    part = written(cut_part(coarse, start, targets), "mix-cuts")  # first among the coarse slices, then among those within
+    inside = base.join(small(part.select("s", F.col("part").alias("coarse")), of=part), F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("slice") / FINE) == F.col("coarse")))
     fine = inside.groupBy("source", F.col("slice").alias("part")).agg(F.sum("size").alias("n"))
-    cuts = cut_part(fine, part.select("s", "rest", F.col("before").alias("start"))).select("s", F.col("part").alias("cut"), F.col("before").alias("cut_before"))
+    cuts = cut_part(fine, part.select("s", "rest", F.col("before").alias("start")), part).select("s", F.col("part").alias("cut"), F.col("before").alias("cut_before"))
     return written(targets.withColumnRenamed("source", "t").join(cuts, F.col("t").eqNullSafe(F.col("s")), "left").drop("s"), "mix-cuts")
 
 

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.shared import kept, let, small, written
+from folium.llm.shared import kept, let, rows_of, small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -127,7 +127,7 @@ def converged(rows: DataFrame, starts: DataFrame) -> DataFrame:
     steps = []
     while True:
         now = written(c_step(rows, now), "outliers-mcd")
-        if now.isEmpty():
+        if not rows_of(now):
             return reduce(DataFrame.unionByName, steps) if steps else now
         steps.append(now)
 

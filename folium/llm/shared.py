@@ -14,9 +14,10 @@ from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of at most so many narrow rows (some tens of bytes each) may be broadcast.
@@ -57,6 +58,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: After so many written tables the driver's JVM gives free native memory back, which planning in many threads leaves.
+TRIM = 8
+
+
+def trim(spark: SparkSession) -> None:
+    """Has the driver's JVM give free native memory back to the system, where it knows how to."""
+    jvm = spark.sparkContext._jvm
+    with contextlib.suppress(Py4JError):
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -64,13 +75,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder stays until release()."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    told = Observation()
+    df.observe(told, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     _WRITTEN.append((spark, path))
+    if len(_WRITTEN) % TRIM == 0:
+        trim(spark)
     found = spark.read.schema(df.schema).parquet(path)
-    found._folder = path
+    found._folder, found._rows = path, told.get.get("rows")
     return found
 
 
+def rows_of(df: DataFrame) -> int | None:
+    """The number of rows of a written table, which writing it told."""
+    return getattr(df, "_rows", None)
+
+
 def bounded(rows: DataFrame, by: str, order: Column, chars: int) -> DataFrame:
     """Of rows (text, ..), few of each value of `by`: in order, the first and those up to which the texts have at most
     `chars` characters. Texts stay whole."""
@@ -134,12 +153,13 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count finds at most `rows` rows; otherwise Spark chooses the join.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, of: DataFrame | None = None) -> DataFrame:
+    """df, marked for broadcast if it has at most `rows` rows; otherwise Spark chooses the join.
 
-    Pass something cheap to count, such as a written table.
+    The number is known for a written table, or is at most that of a written table `of` which df is made from; else it is counted.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    known = rows_of(df if of is None else of)
+    return F.broadcast(df) if (df.limit(rows + 1).count() if known is None else known) <= rows else df
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -254,4 +254,4 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     bases = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "content")
     rows = files.mapInArrow(lean(decode), "shard string, doc_id long, in_shard long, n_tokens long, ids_crc32 long")
-    return rows.join(small(bases), "shard").select("doc_id", (F.col("base") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(small(bases, of=manifest), "shard").select("doc_id", (F.col("base") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
