@@ -33,6 +33,11 @@ def orphans(pages: DataFrame) -> DataFrame:
     return pages.filter(~F.col("path").isin("index.md", "log.md")).select("path").join(linked, "path", "left_anti")
 
 
+def with_field(pages: DataFrame, key: str, value: str) -> DataFrame:
+    """Paths of pages whose front matter has the field with that value."""
+    return front_matter(pages).filter(F.col("fields")[key] == value).select("path")
+
+
 def front_matter(pages: DataFrame) -> DataFrame:
     """path and map of the "key: value" lines between two lines of --- at the page's top."""
     block = F.regexp_extract("content", r"\A---\n((?s:.*?))\n---(?:\n|\z)", 1)

@@ -35,11 +35,18 @@ def rendered(log: DataFrame) -> DataFrame:
     return log.select("wiki_id", "ts", "operation", heading().alias("heading"), block.alias("block"), commit_message().alias("message"))
 
 
-def log_page(log: DataFrame) -> DataFrame:
-    """The log's page of each wiki. A wiki's entries are put in one text, so this is for logs of readable size."""
+def log_page(log: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """The log's page of each wiki. A wiki's entries are put in one text, so this is for logs of readable size.
+
+    written (wiki_id, content, since): pages that were written, to which only entries from then on are appended.
+    """
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("ts", "block"))), lambda b: b["block"])
-    pages = rendered(log).groupBy("wiki_id").agg(blocks.alias("blocks"))
-    return pages.select("wiki_id", F.lit("log.md").alias("path"), F.concat(F.lit(HEAD), F.array_join("blocks", "")).alias("content"))
+    if written is None:
+        pages = rendered(log).groupBy("wiki_id").agg(blocks.alias("blocks")).withColumn("content", F.lit(HEAD))
+    else:
+        later = rendered(log).join(written.select("wiki_id", "since"), "wiki_id", "left").filter("since IS NULL OR ts >= since")
+        pages = later.groupBy("wiki_id").agg(blocks.alias("blocks")).join(written.select("wiki_id", "content"), "wiki_id", "full")
+    return pages.select("wiki_id", F.lit("log.md").alias("path"), F.concat(F.coalesce("content", F.lit(HEAD)), F.coalesce(F.array_join("blocks", ""), F.lit(""))).alias("content"))
 
 
 def counts(log: DataFrame) -> DataFrame:

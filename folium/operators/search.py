@@ -40,6 +40,15 @@ def match_counts(hits: DataFrame, shown: int = 5) -> DataFrame:
     return counts.withColumn("more", F.greatest(F.col("n_matches") - shown, F.lit(0)))
 
 
+def web_rows(pages: DataFrame, query: str | None, base_url: str, token: str = "", most: int = 5) -> DataFrame:
+    """What the reader's search page shows: path, title, url, line_number, line of the first `most` lines of each page, and how
+    many more it has. The query is stripped, and a blank one finds nothing."""
+    query = (query or "").strip()
+    hits = first_matches(search_lines(pages if query else pages.limit(0), query), most)
+    url = F.concat(F.lit(base_url.rstrip("/") + "/"), "path", F.lit(f"?token={token}" if token else ""))
+    return hits.select("path", paths.label(F.col("path")).alias("title"), url.alias("url"), "line_number", "line", "more")
+
+
 def web_search(pages: DataFrame, query: str | None) -> DataFrame | None:
     """As the reader's search box: the query is stripped, and a blank one is no search."""
     query = (query or "").strip()

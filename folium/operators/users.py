@@ -6,7 +6,7 @@ import datetime
 import hashlib
 import secrets
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.functions import text
@@ -32,18 +32,19 @@ def add_user(spark: SparkSession, users: DataFrame, username: str, token: str, w
     return spark.createDataFrame([(username, hash_token(token), wiki_dir, created_at, None, {}, [])], USERS)
 
 
-def _known(users: DataFrame, username: str) -> None:
+def known(users: DataFrame, username: str) -> None:
+    """KeyError if there is no such user."""
     if not users.filter(F.col("username") == username).take(1):
         raise KeyError(f"User not found: {username}")
 
 
 def remove_user(users: DataFrame, username: str) -> DataFrame:
-    _known(users, username)
+    known(users, username)
     return users.filter(F.col("username") != username)
 
 
 def rotate_token(users: DataFrame, username: str, token: str) -> DataFrame:
-    _known(users, username)
+    known(users, username)
     return users.withColumn("token_hash", F.when(F.col("username") == username, hash_token(token)).otherwise(F.col("token_hash")))
 
 
@@ -52,9 +53,9 @@ def small_users(users: DataFrame) -> DataFrame:
 
 
 def authenticated(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """requests (request_id, token) with the user whose token it is; of users that share one, the first by name. An empty hash
+    """requests (request_id, token) with the user whose token it is; of users that share one, the first that was created, by name among those. An empty hash
     fits no token."""
-    usable = users.filter(F.coalesce("token_hash", F.lit("")) != "").groupBy("token_hash").agg(F.min_by(F.struct("username", "wiki_dir", "auto_push_remotes"), "username").alias("u"))
+    usable = users.filter(F.coalesce("token_hash", F.lit("")) != "").groupBy("token_hash").agg(F.min_by(F.struct("username", "wiki_dir", "auto_push_remotes"), F.struct("created_at", "username")).alias("u"))
     found = requests.withColumn("token_hash", text.token_hash(F.col("token"))).join(small_users(usable), "token_hash")
     return found.select("request_id", "u.username", "u.wiki_dir", "u.auto_push_remotes")
 
@@ -76,13 +77,33 @@ def list_users(users: DataFrame, pages: DataFrame) -> DataFrame:
     return df.select("username", "wiki_dir", F.coalesce("page_count", F.lit(0)).cast("long").alias("page_count"), "last_active", text.masked(F.col("username"), F.col("token_hash")).alias("masked_token"))
 
 
+def count_users(users: DataFrame) -> DataFrame:
+    return users.agg(F.count("*").alias("n_users"))
+
+
+def basic_password(header: Column) -> Column:
+    """The password of an Authorization header of kind Basic; null for others and for what isn't Base64 of name:password."""
+    encoded = F.regexp_extract(header, r"(?i)^basic\s+([A-Za-z0-9+/=]+)\s*$", 1)
+    said = F.try_to_binary(encoded, F.lit("base64")).cast("string")
+    return F.when(said.contains(":"), F.regexp_replace(said, r"(?s)^[^:]*:", ""))
+
+
+def push_warnings(results: DataFrame) -> DataFrame:
+    """Per username the warnings of pushes (username, name, error) that failed, in order of the remotes' names."""
+    failed = results.filter("error IS NOT NULL").select("username", F.struct("name", F.concat(F.lit("Push to "), "name", F.lit(" failed: "), "error").alias("w")).alias("w"))
+    return failed.groupBy("username").agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["w"]).alias("warnings"))
+
+
 def last_active(activity: DataFrame) -> DataFrame:
     """From rows (username, ts), one for each request."""
     return activity.groupBy("username").agg(F.max("ts").alias("last_active"))
 
 
 def add_remote(users: DataFrame, username: str, name: str, url: str, auto_push: bool = False) -> DataFrame:
-    _known(users, username)
+    """users with the remote added; ValueError if the user has one of that name."""
+    known(users, username)
+    if users.filter((F.col("username") == username) & F.map_contains_key("remotes", name)).take(1):
+        raise ValueError(f"Remote already exists: {name}")
     mine = F.col("username") == username
     remotes = F.map_concat(F.map_filter(F.coalesce("remotes", F.create_map().cast("map<string,string>")), lambda k, _: k != name), F.create_map(F.lit(name), F.lit(url)))
     auto = F.coalesce("auto_push_remotes", F.array().cast("array<string>"))

@@ -27,7 +27,7 @@ def version(spark: SparkSession, wiki_id: str, path: str, content: str | None, t
     """The row that writing a page (or, with null content, deleting it) appends."""
     path = paths.checked(path)
     if content is None and path in (paths.INDEX, paths.LOG):
-        raise ValueError(f"Cannot delete protected page: {path}")
+        raise PermissionError(f"Cannot delete protected page: {path}")
     return spark.createDataFrame([(wiki_id, path, number, ts, op, message(op, path), content, content is None)], VERSIONS)
 
 

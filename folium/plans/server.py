@@ -101,6 +101,7 @@ class Server:
         self._change(self._one(users.remove_remote(self.accounts, username, name), username))
 
     def list_remotes(self, username: str) -> dict[str, str]:
+        users.known(self.accounts, username)
         return {r.name: r.url for r in users.list_remotes(self.accounts.filter(F.col("username") == username)).collect()}
 
     def list_users(self) -> DataFrame:

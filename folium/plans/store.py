@@ -1,7 +1,7 @@
 """The nine operations over tables in a folder, and their text forms for clients.
 
 versions/ and log/ are append-only Parquet tables partitioned by wiki_id, so that an operation on one wiki reads its
-folder only. compact() writes the current pages to pages/, from which large reads are faster. There is one writer per
+folder only. There is one writer per
 wiki: version numbers count that wiki's versions.
 """
 
@@ -63,10 +63,12 @@ class Corpus:
 
     @property
     def pages(self) -> DataFrame:
-        """The current pages; the log's page is rendered from the log's table where no version of it was written."""
-        current = versions.latest(self.versions)
-        rendered = logs.log_page(self.log).join(current.filter(F.col("path") == paths.LOG).select("wiki_id"), "wiki_id", "left_anti")
-        return current.unionByName(rendered)
+        """The current pages. The log's page is its last written version, or a fresh one, followed by the entries since, those
+        of the same time included."""
+        all_ = self.versions
+        current = versions.latest(all_)
+        written = all_.filter(F.col("path") == paths.LOG).groupBy("wiki_id").agg(F.max_by(F.struct("content", "ts"), versions.order()).alias("last"))
+        return current.filter(F.col("path") != paths.LOG).unionByName(logs.log_page(self.log, written.select("wiki_id", "last.content", F.col("last.ts").alias("since"))))
 
     def _write(self, path: str, content: str | None, op: str) -> None:
         path = paths.checked(path)
@@ -77,11 +79,10 @@ class Corpus:
 
     def init(self) -> None:
         """Adds the pages of a fresh corpus that are missing."""
-        self._append(versions.scaffold(self.spark, versions.latest(self.versions), self.wiki_id, self.now()).filter(F.col("path") != paths.LOG), "versions")
+        self._append(versions.scaffold(self.spark, versions.latest(self.versions), self.wiki_id, self.now()), "versions")
 
     def wiki_info(self) -> Row:
-        info = pages.wiki_info(self.pages, f"{self.folder}#{self.wiki_id}", self.guide)
-        return info.withColumn("log_entries", F.lit(self.log.count())).first()
+        return pages.wiki_info(self.pages, f"{self.folder}#{self.wiki_id}", self.guide).first()
 
     def read_index(self) -> str:
         return pages.read_index(self.pages)
@@ -106,11 +107,12 @@ class Corpus:
 
     def delete_page(self, path: str) -> None:
         if paths.checked(path) in (paths.INDEX, paths.LOG):
-            raise ValueError(f"Cannot delete protected page: {path}")
+            raise PermissionError(f"Cannot delete protected page: {path}")
         self.read_page(path)
         self._write(path, None, "delete_page")
 
     def compact(self) -> None:
+        """Writes the current pages to pages/, for readers of read_parquet_pages(); operations here go on reading versions."""
         write_pages(self.pages, f"{self.folder}/pages")
 
 

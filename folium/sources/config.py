@@ -5,14 +5,43 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.sources.schemas import CONFIG, USERS
+from folium.sources.schemas import CONFIG, USER, USERS
 
 
-def default_config(port: int = 8765) -> dict:
-    return {"version": "1", "port": port, "host": "0.0.0.0", "users": {}}
+# Version of the configuration's format, port and host. The file's name is our own.
+VERSION, FILE, PORT, HOST = "0.1", "settings.json", 8765, "0.0.0.0"
+
+
+def default_config(port: int = PORT, host: str = HOST) -> dict:
+    return {"version": VERSION, "port": port, "host": host, "users": {}}
+
+
+def config_path(folder: str) -> str:
+    return f"{folder.rstrip('/')}/{FILE}"
+
+
+def get_user(users: DataFrame, username: str) -> DataFrame:
+    """The user's row, none if there is no such user."""
+    return users.filter(F.col("username") == username)
+
+
+def allowed_hosts(host: str, port: int, extra: list[str] | None = None) -> list[str]:
+    """Hosts that requests may name: the server's own and local ones, with and without port, then the extra ones; each once."""
+    own = [h for name in (host, "localhost", "127.0.0.1") for h in (name, f"{name}:{port}")]
+    return list(dict.fromkeys([*own, *(extra or [])]))
+
+
+def user_json(user: Column) -> Column:
+    """A user's struct as it stands in the configuration."""
+    return F.to_json(user, {"ignoreNullFields": "false"})
+
+
+def parsed_user(text: Column) -> Column:
+    """The struct of a user's JSON; null fields where it has none."""
+    return F.from_json(text, USER)
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:

@@ -40,7 +40,9 @@ def read_files(spark: SparkSession, folder: str, wiki_id: str) -> DataFrame:
     begin with _ and empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
     text = F.col("content").cast("string")
-    relative = F.regexp_extract("path", ".*?" + folder.rstrip("/").split("/")[-1] + "/(.*)$", 1)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
+    relative = F.substr("path", F.lit(len(root) + 1))
     return files.filter(F.is_valid_utf8(text)).select(F.lit(wiki_id).alias("wiki_id"), relative.alias("path"), one_kind_of_line_end(text).alias("content"))
 
 

@@ -65,7 +65,7 @@ def test_versions(spark):
     assert [r.version for r in versions.history(v, "a.md").collect()] == [4, 3, 1]
     w = versions.bulk_writes(spark.createDataFrame([("w", "../x.md", 1, T0, "c"), ("w", "index.md", 1, T0, None), ("w", "ok.md", 1, T0, "c")], "wiki_id string, path string, version long, ts timestamp, content string"))
     assert [(r.path, r.message) for r in w.collect()] == [("ok.md", "wiki: write_page wiki/ok.md")]
-    with pytest.raises(ValueError):
+    with pytest.raises(PermissionError):
         versions.version(spark, "w", "./index.md", None, T0, 1)
 
 
@@ -101,10 +101,24 @@ def test_users(spark):
     assert users.new_token("ann").startswith("folium_ann_") and len(users.new_token("ann")) == 43
 
 
+def test_passwords_and_warnings(spark):
+    import base64
+
+    said = lambda x: "Basic " + base64.b64encode(x.encode()).decode()
+    rows = spark.createDataFrame([(1, said("git:tok:en")), (2, "Bearer x"), (3, "Basic ???"), (4, said("nothing")), (5, None)], "k int, h string")
+    assert {r.k: r.p for r in rows.select("k", users.basic_password(F.col("h")).alias("p")).collect()} == {1: "tok:en", 2: None, 3: None, 4: None, 5: None}
+    results = spark.createDataFrame([("ann", "b", "no route"), ("ann", "a", "denied"), ("ann", "c", None), ("bob", "a", None)], "username string, name string, error string")
+    assert [tuple(r) for r in users.push_warnings(results).collect()] == [("ann", ["Push to a failed: denied", "Push to b failed: no route"])]
+    assert users.count_users(results).first().n_users == 4
+
+
 def test_config(spark, tmp_path):
     c = config.default_config(1) | {"users": {"ann": {"token_hash": "h", "wiki_dir": "/a", "created_at": "2026-01-02T03:04:05Z", "last_active": None, "remotes": {"o": "u"}, "auto_push_remotes": []}}}
     config.save_config(c, str(tmp_path / "c.json"))
     row = config.config_users(config.read_config(spark, str(tmp_path / "c.json"))).first()
+    assert c["version"] == "0.1" and config.default_config(host="h")["host"] == "h" and config.config_path("/x/") == "/x/settings.json"
+    assert config.allowed_hosts("h", 9, ["h", "e"]) == ["h", "h:9", "localhost", "localhost:9", "127.0.0.1", "127.0.0.1:9", "e"]
+    assert config.get_user(config.config_users(config.read_config(spark, str(tmp_path / "c.json"))), "zoe").count() == 0
     assert row.username == "ann" and row.created_at == T0 and row.last_active is None and row.remotes == {"o": "u"}
 
 
@@ -117,6 +131,11 @@ def test_folders_and_exports(spark, tmp_path):
     assert {r.path: r.content for r in p.collect()} == {"a.md": "x\ny", "_top.md": "t", ".hid/h.md": "h", "empty.md": ""}
     assert corpus.read_folder(spark, str(root), "w", keep_invalid=True).filter("content IS NULL").first().path == "bad.md"
     assert {r.path for r in corpus.read_files(spark, str(root), "w").collect()} == {"a.md"}
+    odd = tmp_path / "a+b (c)" / "wiki" / "wiki"
+    odd.mkdir(parents=True)
+    (odd / "wiki").mkdir()
+    (odd / "wiki" / "x.md").write_text("x")
+    assert {r.path for r in corpus.read_files(spark, str(tmp_path / "a+b (c)" / "wiki"), "w").collect()} == {"wiki/wiki/x.md"}
     corpus.write_pages(p, str(tmp_path / "pages"))
     assert corpus.read_parquet_pages(spark, str(tmp_path / "pages")).count() == 4
     assert sorted(zipfile.ZipFile(export.export_archive(p, "w", "zip", str(tmp_path))).namelist()) == ["wiki/.hid/h.md", "wiki/_top.md", "wiki/a.md", "wiki/empty.md"]
@@ -149,7 +168,7 @@ def test_store(spark, tmp_path):
     t = Tools(c)
     c.init()
     c.init()
-    assert c.list_pages() == ["index.md"] and t.search_wiki("xyzzy_no_match_here") == "No matches found."
+    assert c.list_pages() == ["index.md", "log.md"] and t.read_page("log.md") == "# Activity Log\n\n" and t.search_wiki("xyzzy_no_match_here") == "No matches found."
     assert t.write_page("topics/python.md", "# Python\n\nGreat language.") == "Page 'topics/python.md' written successfully."
     before = c.versions.count()
     c.write_page("topics/python.md", "# Python\n\nGreat language.")
@@ -163,6 +182,12 @@ def test_store(spark, tmp_path):
     assert t.delete_page("topics/python.md") == "Page 'topics/python.md' deleted successfully."
     assert c.list_pages("topics") == [] and t.list_pages("topics") == "No pages found."
     assert t.update_index("new") == "index.md updated successfully." and t.read_index() == "new"
+    with pytest.raises(PermissionError):
+        c.delete_page("log.md")
+    later = Corpus(spark, str(tmp_path / "store"), "ann", "guide", now=lambda: T0 + datetime.timedelta(minutes=1))
+    later.write_page("log.md", "# New\n\n## by hand\n")
+    later.append_log("after it")
+    assert later.read_page("log.md") == "# New\n\n## by hand\n\n## 2026-01-02T03:05:05Z\n\nafter it\n" and later.wiki_info().log_entries == 2
     assert Corpus(spark, str(tmp_path / "store"), "bob").list_pages() == []
     c.compact()
 
@@ -188,18 +213,22 @@ def test_server(spark, tmp_path):
         s.add_user("ann")
     assert s.authenticate(ann["token"]) == "ann" and s.authenticate("x") is None and s.authenticate(None) is None
     s.tools(bob["token"]).write_page("a.md", "hello")
-    assert s.corpus("ann").list_pages() == ["index.md"] and s.corpus("bob").list_pages() == ["a.md", "index.md"]
+    assert s.corpus("ann").list_pages() == ["index.md", "log.md"] and s.corpus("bob").list_pages() == ["a.md", "index.md", "log.md"]
     with pytest.raises(PermissionError):
         s.tools("x")
     new = s.rotate_token("ann")
     assert s.authenticate(ann["token"]) is None and s.authenticate(new) == "ann"
     s.add_remote("ann", "gh", "url", auto_push=True)
     assert s.list_remotes("ann") == {"gh": "url"}
+    with pytest.raises(ValueError):
+        s.add_remote("ann", "gh", "other")
+    with pytest.raises(KeyError):
+        s.list_remotes("zoe")
     s.remove_remote("ann", "gh")
     assert s.list_remotes("ann") == {}
     shown = {r.username: (r.page_count, r.last_active) for r in s.list_users().collect()}
-    assert shown == {"ann": (1, T0), "bob": (2, T0)}
-    assert zipfile.ZipFile(s.export("bob", "zip", str(tmp_path))).namelist() == ["wiki/a.md", "wiki/index.md"]
+    assert shown == {"ann": (2, T0), "bob": (3, T0)}
+    assert zipfile.ZipFile(s.export("bob", "zip", str(tmp_path))).namelist() == ["wiki/a.md", "wiki/index.md", "wiki/log.md"]
     s.remove_user("bob")
     assert [r.username for r in s.list_users().collect()] == ["ann"]
     with pytest.raises(KeyError):
