@@ -25,19 +25,28 @@ from folium.llm.shared import lean
 from folium.llm.wordbytes import chunks
 
 ROUNDS = 8
+# Names of months in English, French, German and Spanish, by language and in order.
+MONTHS = (
+    "january february march april may june july august september october november december".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+)
+_MONTH = "|".join(sorted({m for names in MONTHS for m in names}, key=len, reverse=True))
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?!\w))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d))"
+    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}"
+    rf"|\d{{1,2}}(?:\.|st|nd|rd|th)?\x20(?:(?:de|of)\x20)?(?i:{_MONTH})\x20(?:de\x20)?\d{{4}}|(?i:{_MONTH})\x20\d{{1,2}}(?:st|nd|rd|th)?,?\x20\d{{4}})(?![\w/-]|\.\d))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[\x20-]?\d){12,18}(?![\w-]|\.\d))"
-    r"|(?P<phone>(?<![\w.+])(?:\+\d(?:[\x20.-]?\d){7,14}|0\d{1,4}/\d{5,8}|(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{2,4}(?:[\x20.-]?\d{2,4}){1,3})(?![\w-]|\.\d))"
+    r"|(?P<phone>(?<![\w.+])(?:\+\d(?:[\x20.-]?\d){7,14}|0\d{1,4}/\d{5,8}|[2-9]\d{2}[2-9]\d{6}(?!\d)|(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{2,4}(?:[\x20.-]?\d{2,4}){1,3})(?![\w-]|\.\d))"
 )
 #: Country codes of one and two digits; the others have three.
 CODE = re.compile(r"(\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d{1,2}(?!\d))[\x20.-]?)?")
-FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+FIRST, LAST = datetime.date(1800, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
 def permute(x: int, size: int, key: bytes, kind: str) -> int:
@@ -122,7 +131,7 @@ def _phone(value: str, key: bytes) -> str | None:
     n = len(d) + len(re.sub(r"\D", "", code))
     # numbers that begin with a trunk 0; four groups with dots are rather an address
     trunk = not code and "(" not in rest and d[0] == "0" != d[1] and 9 <= n <= 12 and not re.fullmatch(r"(?:\d{1,3}\.){3}\d{1,3}", rest)
-    if not 7 <= n <= 15 or not (code or "(" in rest or trunk or re.fullmatch(r"\d{3}[\x20.-]\d{3}[\x20.-]\d{4}", rest)):
+    if not 7 <= n <= 15 or not (code or "(" in rest or trunk or re.fullmatch(r"\d{3}[\x20.-]\d{3}[\x20.-]\d{4}|[2-9]\d{2}[2-9]\d{6}", rest)):
         return None
     if len(d) == 10 and d[0] > "1" and d[3] > "1":  # area and exchange don't begin with 0 or 1
         x = permute(((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:]), 800 * 800 * 10_000, key, "phone")
@@ -154,10 +163,33 @@ def _iban(value: str, key: bytes) -> str | None:
     return refill(value, "[A-Z0-9]", f"{plain[:2]}{98 - number(account + plain[:2] + '00') % 97:02}{account}")
 
 
+def _named_date(value: str, key: bytes) -> str | None:
+    """A date with a month's name, which stays in its language and case."""
+    name = re.search(f"(?i:{_MONTH})", value)
+    said = name[0].lower()
+    language = next(names for names in MONTHS if said in names)
+    numbers = re.findall(r"\d+", value)
+    try:
+        day = datetime.date(int(numbers[1]), language.index(said) + 1, int(numbers[0])).toordinal()
+    except ValueError:
+        return None
+    if not FIRST <= day <= LAST:
+        return None
+    new = datetime.date.fromordinal(FIRST + permute(day - FIRST, LAST - FIRST + 1, key, "date"))
+    month = language[new.month - 1]
+    month = month.upper() if name[0].isupper() else month.capitalize() if name[0][0].isupper() else month
+    end = {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10 if new.day not in (11, 12, 13) else 0, "th")
+    out = re.sub(f"(?i:{_MONTH})", "\0", value)
+    out = re.sub(r"\d{1,2}(st|nd|rd|th)?(?!\d)", lambda m: f"{new.day}{end if m[1] else ''}", out, count=1)
+    return re.sub(r"\d{4}$", f"{new.year:04}", out).replace("\0", month)
+
+
 def _date(value: str, key: bytes) -> str | None:
+    if re.search(r"[^\W\d_]{3}", value):
+        return _named_date(value, key)
     sep = next(c for c in value if not c.isdigit())
     p = [int(x) for x in value.split(sep)]
-    orders = {"-": [(0, 1, 2)], ".": [(2, 1, 0)], "/": [(2, 0, 1), (2, 1, 0)]}[sep]
+    orders = [(0, 1, 2)] if p[0] > 99 else {"-": [(2, 0, 1), (2, 1, 0)], ".": [(2, 1, 0)], "/": [(2, 0, 1), (2, 1, 0)]}[sep]
     for y, m, d in orders:
         try:
             day = datetime.date(p[y], p[m], p[d]).toordinal()
@@ -167,7 +199,7 @@ def _date(value: str, key: bytes) -> str | None:
             new = datetime.date.fromordinal(FIRST + permute(day - FIRST, LAST - FIRST + 1, key, "date"))
             out = [0, 0, 0]
             out[y], out[m], out[d] = new.year, new.month, new.day
-            padded = sep == "-" or any(len(x) == 2 and x[0] == "0" for x in value.split(sep))
+            padded = sep == "-" and y == 0 or any(len(x) == 2 and x[0] == "0" for x in value.split(sep))
             return sep.join(f"{x:04}" if k == y else f"{x:02}" if padded else str(x) for k, x in enumerate(out))
     return None
 
@@ -225,8 +257,10 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Per row: doc_id, text with pseudonyms, n_<kind> for each kind, and spans "kind:start:end" of the original text.
 
     A null text stays null and counts as without matches; an empty one stays empty. Equal values have equal pseudonyms in
-    all rows. Rows of equal doc_id are treated each by itself. An empty table gives an empty result. Columns other than
-    doc_id and text aren't read. The key should come from a secret store.
+    all rows. Rows of equal doc_id, and repeated rows, are treated each by itself; where several kinds fit a place, the first of
+    KINDS that is valid is taken. A date of two numbers up to 12 and a year is read month first, in all documents alike. Texts of
+    any length are taken whole. An empty table gives an empty result. Columns other than doc_id and text aren't read. The key
+    should come from a secret store.
     """
     secret = hashlib.sha256(key.encode()).digest()
 

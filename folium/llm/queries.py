@@ -13,6 +13,8 @@ from folium.llm.sql import outliers_sql
 
 #: The id that ends a document, and the tokenizer's file.
 END_ID, TOKENIZER = 1, "word_bpe_49k.json"
+#: The session's setting that has the key of pseudonyms.
+PSEUDONYM_KEY = "spark.folium.pseudonyms.key"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -96,7 +98,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key="a key for tests; production takes its own")
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get(PSEUDONYM_KEY, "for tests, where the setting is missing"))
 
 
 #: Every window of every item against every place of its length, and the words under them counted once.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import re
 
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folium.llm import pseudonyms as ps
+from folium.llm.queries import op10_pseudonyms
 
 KEY = b"k" * 32
 
@@ -32,7 +34,7 @@ VALUES = {
     "phone": ["+1 (456) 555-2186", "(030) 1234 567", "212-555-0187", "+49 30 1234567"],
     "ip": ["42.144.35.254"],
     "iban": ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"],
-    "date": ["1980-02-29", "29.2.1980", "2/29/1980", "31/12/1999"],
+    "date": ["1980-02-29", "29.2.1980", "2/29/1980", "31/12/1999", "2024/03/05", "03-05-1980", "1850-01-02", "12 March 1980", "March 3rd, 1980", "1 mars 2001", "3. Dezember 1999", "12 de mayo de 1980"],
 }
 BAD = ["4111111111111112", "4026083977531332"[:-1] + "0", "000-12-3456", "666-12-3456", "256.1.1.1", "1.2.3", "GB83 WEST 1234 5698 7654 32", "1980-02-30", "31.4.1999", "1799-01-01", "12345", "12345678901234567890", "x@y", "7-8-9"]
 
@@ -55,7 +57,7 @@ def test_not_valid(value):
     assert ps.replace(f"so {value} end", KEY) == (f"so {value} end", [])
 
 
-@pytest.mark.parametrize("value", ["+14155552671", "+33612345678", "+44 7911 123456", "+447911123456", "06 12 34 56 78", "030 1234567", "06.12.34.56.78", "030/1234567"])
+@pytest.mark.parametrize("value", ["+14155552671", "+33612345678", "+44 7911 123456", "+447911123456", "06 12 34 56 78", "030 1234567", "06.12.34.56.78", "030/1234567", "2125550187"])
 def test_compact_and_national_phones(value):
     new, found = ps.replace(f"so {value} and {value}, end", KEY)
     assert [k for _, _, k in found] == ["phone"] * 2 and value not in new
@@ -81,3 +83,26 @@ def test_rows(spark, documents):
     assert got[2].text is None and got[2].spans == "" and got[3].text == "" and got[4].text == "nothing here"
     assert got[5].n_card == 1 and got[6].text == texts[6]
     assert ps.pseudonymise(documents([]).limit(0), "k").collect() == []
+
+
+def test_named_dates_are_linked():
+    iso = ps.replace("1980-03-12", KEY)[0]
+    day = datetime.date.fromisoformat(iso)
+    names = [ps.MONTHS[k][day.month - 1] for k in range(4)]
+    assert ps.replace("12 March 1980", KEY)[0] == f"{day.day} {names[0].capitalize()} {day.year}"
+    assert ps.replace("12. März 1980", KEY)[0] == f"{day.day}. {names[2].capitalize()} {day.year}"
+    assert ps.replace("12 de marzo de 1980", KEY)[0] == f"{day.day} de {names[3]} de {day.year}"
+    assert ps.replace("1980/03/12", KEY)[0].replace("/", "-") == iso and ps.replace("31 February 1980", KEY)[1] == []
+
+
+def test_query_against_plain_replacement(spark, documents, tmp_path):
+    """The whole query against replace() text by text, and against the values that were planted."""
+    values = [v for vs in VALUES.values() for v in vs]
+    rows = [(k, f"so é {values[k % len(values)]}, and {values[(k * 7 + 1) % len(values)]}. end" if k % 3 else "plain words only", "en", "s") for k in range(200)] + [(900, None, None, None), (901, "", None, None), (None, values[0], None, None)]
+    documents(rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op10_pseudonyms(spark, str(tmp_path)).collect()}
+    secret = hashlib.sha256(b"for tests, where the setting is missing").digest()
+    for i, text, _, _ in rows:
+        new, found = ps.replace(text or "", secret)
+        assert (got[i].text or "") == new and got[i].spans == ",".join(f"{k}:{a}:{b}" for a, b, k in found)
+        assert text is None or i in (901,) or (i is not None and i % 3 == 0) or len(found) == (1 if i is None else 2)
