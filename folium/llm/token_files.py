@@ -10,8 +10,9 @@ A shard holds the documents of one range of doc_id, in order:
     block_start  uint64 x (blocks + 1): where each block begins, in bytes of the payload
     payload      blocks of ids of `bits` bits each, little-endian; each block begins on a byte
 
-A block can be found and unpacked without the others. The folder also has a Parquet table, manifest,
-that names the shards which belong to it: a task that ran twice leaves a file that no manifest names.
+A block can be found, read and unpacked without the others. Shards are cut at SHARD, so neither a writer's nor a reader's
+memory follows the rows of a task. The folder also has a Parquet table, manifest, that names the shards which belong to
+it, in order of range and part: a task that ran twice leaves files that no manifest names.
 """
 
 from __future__ import annotations
@@ -19,19 +20,25 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folium.llm.shared import lean, small
+from folium.llm.shared import lean
 from folium.llm.wordbytes import Words, chunks, hashes
 
 MAGIC, NO_ID, BLOCK = b"FOLIOTK1", np.iinfo(np.int64).min, 4096
 #: Distinct chunks of text whose ids a worker remembers.
 CHUNKS = 1_200_000
+#: A shard ends when its ids, and 8 for each of its documents, are so many: 32 MB at 16 bits, and at most a chunk or a document more.
+SHARD = 1 << 24
+#: Ids that a reader unpacks at once, documents that it sums at once, and shards that it reads one after the other in a task.
+READ, DOCS, SHARDS = 1 << 20, 4096, 16
+#: Characters by which documents of equal doc_id are dealt to ranges, in the order of their texts.
+PREFIX = 32
 
 
 def bits_for(vocabulary: int) -> int:
@@ -64,28 +71,46 @@ def shard_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
 
 
 class Shard:
-    """Random access to a shard's bytes."""
+    """Random access to a shard: its tables are read at once, and of its payload the blocks that are asked for."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, source: bytes | pa.NativeFile):
+        self.file = pa.BufferReader(source) if isinstance(source, bytes) else source
+        head = self.file.read_at(32, 0)
+        if head[:8] != MAGIC:
             raise ValueError("not a shard of token ids")
-        self.bits, self.block = map(int, np.frombuffer(data, "<u4", 2, 8))
-        docs, self.n_ids = map(int, np.frombuffer(data, "<u8", 2, 16))
-        self.doc_ids = np.frombuffer(data, "<i8", docs, 32)
-        self.doc_start = np.frombuffer(data, "<u8", docs + 1, at := 32 + 8 * docs).astype(np.int64)
+        self.bits, self.block = map(int, np.frombuffer(head, "<u4", 2, 8))
+        docs, self.n_ids = map(int, np.frombuffer(head, "<u8", 2, 16))
         blocks = -(-self.n_ids // self.block)
-        self.block_start = np.frombuffer(data, "<u8", blocks + 1, at := at + 8 * (docs + 1)).astype(np.int64)
-        self.payload = memoryview(data)[at + 8 * (blocks + 1) :]
+        tables = self.file.read_at(8 * (docs + docs + 1 + blocks + 1), 32)
+        self.doc_ids = np.frombuffer(tables, "<i8", docs)
+        self.doc_start = np.frombuffer(tables, "<u8", docs + 1, 8 * docs).astype(np.int64)
+        self.block_start = np.frombuffer(tables, "<u8", blocks + 1, 8 * (2 * docs + 1)).astype(np.int64)
+        self.payload = 32 + len(tables)
 
     def ids(self, start: int, end: int) -> np.ndarray:
-        """The ids from start to end, of which only the blocks that hold them are unpacked."""
-        first, last = start // self.block, -(-end // self.block)
-        got = [unpack(self.payload[self.block_start[b] : self.block_start[b + 1]], min(self.block, self.n_ids - b * self.block), self.bits) for b in range(first, last)]
+        """The ids from start to end, of which only the blocks that hold them are read and unpacked."""
+        first, last = int(start) // self.block, -(-int(end) // self.block)
+        base = int(self.block_start[first])
+        data = memoryview(self.file.read_at(max(0, int(self.block_start[last]) - base), self.payload + base))
+        got = [unpack(data[self.block_start[b] - base : self.block_start[b + 1] - base], min(self.block, self.n_ids - b * self.block), self.bits) for b in range(first, last)]
         return np.concatenate([*got, np.empty(0, np.uint32)])[start - first * self.block : end - first * self.block]
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(self.doc_start[k], self.doc_start[k + 1])
 
+    def sums(self, first: int, last: int) -> list[int]:
+        """The crc32 of each document from first to last, over its ids as little-endian uint32; READ ids are unpacked at once, or
+        those of DOCS documents if they are fewer."""
+        start, end = int(self.doc_start[first]), int(self.doc_start[last])
+        sums = [0] * (last - first)
+        for a in range(start, end, READ):
+            ids = self.ids(a, b := min(end, a + READ)).astype("<u4")
+            for d in range(int(np.searchsorted(self.doc_start, a, "right")) - 1, int(np.searchsorted(self.doc_start, b, "left"))):
+                part = ids[max(0, self.doc_start[d] - a) : max(0, self.doc_start[d + 1] - a)]
+                if first <= d < last:
+                    sums[d - first] = zlib.crc32(part, sums[d - first])
+        return sums
+
 
 #: Signs that are cut off the end of a chunk, if a letter or digit of ASCII stands before; the tokenizer makes them a piece of their own.
 SIGNS = np.isin(np.arange(256), list(b".,;:!?%&$*#"))
@@ -182,13 +207,15 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+MANIFEST = [("range", pa.int64()), ("part", pa.int64()), ("shard", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, shard: int = SHARD) -> DataFrame:
     """Writes the ids of (doc_id, text) to shards in `folder`; returns the manifest.
 
-    Null texts are empty. Rows of equal doc_id are documents of their own, ordered by text; a null doc_id comes
-    first. An empty table gives an empty manifest. end_id follows each document. Other columns are not read.
+    Null texts are empty. Rows of equal doc_id are documents of their own, ordered by text, and dealt to tasks by the beginnings
+    of their texts; a null doc_id comes first. An empty table gives an empty manifest. end_id follows each document. A very long
+    text is a document of one shard, which it ends. Other columns are not read.
     """
     from tokenizers import Tokenizer
 
@@ -204,54 +231,64 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
         encoder = _ENCODERS[tokenizer]
+        store, path = fs.FileSystem.from_uri(folder)
         doc_ids: list[int | None] = []
         packed: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
+        part = 0
+
+        def cut() -> pa.RecordBatch:
+            name = f"shard-{uuid.uuid4().hex}.ids"
+            store.create_dir(path, recursive=True)
+            with store.open_output_stream(f"{path}/{name}") as out:
+                out.write(shard_bytes(doc_ids, np.concatenate(lengths), np.concatenate(packed), bits))
+            row = {"range": TaskContext.get().partitionId(), "part": part, "shard": name, "first_doc": doc_ids[0], "n_docs": len(doc_ids), "n_ids": sum(map(len, packed))}
+            for held in (doc_ids, packed, lengths):
+                held.clear()
+            return pa.RecordBatch.from_pylist([row], pa.schema(MANIFEST))
+
         for batch in batches:
-            doc_ids += batch.column(0).to_pylist()
-            for _, texts in chunks(batch.column(1)):
+            found = batch.column(0).to_pylist()
+            for at, texts in chunks(batch.column(1)):
                 ids, n = encoder(texts)
                 if end_id is not None:
                     ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                doc_ids += found[at : at + len(texts)]
                 packed.append(ids.astype(np.uint16 if bits <= 16 else np.uint32))
                 lengths.append(n)
-        if not doc_ids:
-            return
-        name = f"shard-{uuid.uuid4().hex}.ids"
-        store, path = fs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
-        with store.open_output_stream(f"{path}/{name}") as out:
-            out.write(shard_bytes(doc_ids, np.concatenate(lengths), np.concatenate(packed), bits))
-        yield pa.RecordBatch.from_pydict({"shard": [name], "first_doc": pa.array([doc_ids[0]], pa.int64()), "n_docs": [len(doc_ids)], "n_ids": [sum(map(len, packed))]})
+                if sum(map(len, packed)) + 8 * len(doc_ids) >= shard:
+                    yield cut()
+                    part += 1
+        if doc_ids:
+            yield cut()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(lean(encode), "shard string, first_doc long, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
+    rows = rows.repartitionByRange(F.col("doc_id"), F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text")
+    rows.mapInArrow(lean(encode), "range long, part long, shard string, first_doc long, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each document in `folder`: doc_id, start (ids before it), n_tokens, ids_crc32 (of its ids as
-    little-endian uint32)."""
+    little-endian uint32). Shards are read by ranges of blocks, each by one task; those that no manifest names aren't read."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = Shard(data.as_buffer().to_pybytes())
-                n = len(shard.doc_ids)
-                for k in range(0, n, 4096):
-                    many = range(k, min(n, k + 4096))
-                    ids = shard.ids(base := shard.doc_start[k], shard.doc_start[many[-1] + 1]).astype("<u4")
-                    crc = [zlib.crc32(ids[shard.doc_start[d] - base : shard.doc_start[d + 1] - base]) for d in many]
-                    found = shard.doc_ids[many[0] : many[-1] + 1]
-                    yield pa.RecordBatch.from_pydict({
-                        "shard": [PurePosixPath(path).name] * len(many), "doc_id": pa.array(found, pa.int64(), mask=found == NO_ID), "in_shard": shard.doc_start[many[0] : many[-1] + 1],
-                        "n_tokens": np.diff(shard.doc_start[many[0] : many[-1] + 2]), "ids_crc32": pa.array(crc, pa.int64()),
-                    })
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_file(f"{path}/{name}") as file:
+                    shard = Shard(file)
+                    for k in range(0, n := len(shard.doc_ids), DOCS):
+                        found = shard.doc_ids[k : (end := min(n, k + DOCS))]
+                        yield pa.RecordBatch.from_pydict({
+                            "doc_id": pa.array(found, pa.int64(), mask=found == NO_ID), "start": base + shard.doc_start[k:end],
+                            "n_tokens": np.diff(shard.doc_start[k : end + 1]), "ids_crc32": pa.array(shard.sums(k, end), pa.int64()),
+                        })
 
     manifest = spark.read.parquet(f"{folder}/manifest")
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each 32 MB of ids
     bases = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "content")
-    rows = files.mapInArrow(lean(decode), "shard string, doc_id long, in_shard long, n_tokens long, ids_crc32 long")
-    return rows.join(small(bases, of=manifest), "shard").select("doc_id", (F.col("base") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-manifest.count() // SHARDS))
+    return bases.repartition(tasks).mapInArrow(lean(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -66,5 +66,43 @@ def test_query(spark, documents):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == list(expected(rows))
 
 
+def test_sums():
+    ids = np.arange(50, dtype=np.uint32)
+    shard = token_files.Shard(token_files.shard_bytes([1, 2, 3, 4, 5], np.array([0, 7, 0, 43, 0]), ids, 6, 4))
+    want = [zlib.crc32(x.astype("<u4").tobytes()) for x in np.split(ids, [0, 7, 7, 50])]
+    for read in (1, 3, 7, 8, 100):
+        token_files.READ, kept = read, token_files.READ
+        try:
+            assert shard.sums(0, 5) == want and shard.sums(1, 3) == want[1:3] and shard.sums(3, 4) == want[3:4]
+        finally:
+            token_files.READ = kept
+
+
+def test_many_shards(spark, documents, tmp_path):
+    """Shards of few ids: cut within a doc_id, ordered by range and part, and read by ranges; unnamed files aren't read."""
+    r = random.Random(4)
+    rows = [(r.choice([None, 1, 1, 2, 9, *range(20, 60)]), r.choice([None, "", " ".join(r.choice("abc") for _ in range(r.randint(1, 90)))])) for _ in range(700)]
+    folder = f"file://{tmp_path}/ids"
+    few = {"spark.sql.execution.arrow.maxRecordsPerBatch": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in few.items():
+        spark.conf.set(name, value)
+    try:
+        manifest = token_files.write_token_files(documents([(i, t, None, None) for i, t in rows]), folder, tokenizer_path(), END_ID, shard=1)
+    finally:
+        for name in few:
+            spark.conf.unset(name)
+    assert manifest.count() > 70 and manifest.select("range").distinct().count() == 4 and manifest.agg({"n_docs": "sum"}).first()[0] == len(rows)
+    (tmp_path / "ids" / "shard-of-a-lost-task.ids").write_bytes(b"half")
+    got = token_files.read_token_files(spark, folder).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == list(expected(rows))
+
+
+def test_long_shards_are_cut(spark, documents, tmp_path):
+    texts = ["word " * 300_000] * 6
+    manifest = token_files.write_token_files(documents(texts).coalesce(1), f"file://{tmp_path}/ids", tokenizer_path(), END_ID, shard=400_000).collect()
+    assert sum(m.n_ids for m in manifest) == 6 * 300_001 and max(m.n_ids for m in manifest) <= 700_000 and len(manifest) > 1
+    assert [r.start for r in sorted(token_files.read_token_files(spark, f"file://{tmp_path}/ids").collect())] == [k * 300_001 for k in range(6)]
+
+
 def test_empty(spark, documents):
     assert token_ids(documents([]).limit(0)).collect() == []
