@@ -207,6 +207,16 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, which stays for its next tasks. (A function of this module goes to workers by its name; a dict that
+    a function made in another refers to would go by value, empty, with each task.)"""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 MANIFEST = [("range", pa.int64()), ("part", pa.int64()), ("shard", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]
 
 
@@ -228,9 +238,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         from pyarrow import fs
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = Encoder(tokenizer)
-        encoder = _ENCODERS[tokenizer]
+        encoder = encoder_of(tokenizer)
         store, path = fs.FileSystem.from_uri(folder)
         doc_ids: list[int | None] = []
         packed: list[np.ndarray] = []
