@@ -375,14 +375,14 @@ def _cell(group: pa.Table) -> pa.Table:
 
 
 def _nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (grp, doc_id, n, diff, label, p, p_n, p_diff): whether each links to the new leader p, and whether one that links to p
+    """From (grp, doc_id, n, diff, label, p, p_n, p_diff, row): whether each links to the new leader p, and whether one that links to p
     may link to it: Jaccard distances are a metric, so not if it is farther than twice the bound."""
     for batch in batches:
         a, b = batch.column(3), batch.column(7)
         apart = np.array([len(np.setxor1d(a[k].values.to_numpy(), b[k].values.to_numpy(), assume_unique=True)) for k in range(batch.num_rows)], np.int64)
         both = batch.column(2).to_numpy() + batch.column(6).to_numpy()
         near = 200 * apart <= 2 * (100 - PERCENT) * (both + apart)  # apart over the union, (both + apart) / 2
-        yield pa.RecordBatch.from_pydict({"grp": batch.column(0), "doc_id": batch.column(1), "n": batch.column(2), "diff": batch.column(3), "label": batch.column(4), "p": batch.column(5), "is_p": links(apart, both), "near": near})
+        yield pa.RecordBatch.from_pydict({"grp": batch.column(0), "doc_id": batch.column(1), "n": batch.column(2), "diff": batch.column(3), "label": batch.column(4), "p": batch.column(5), "is_p": links(apart, both), "near": near, "row": batch.column(8)})
 
 
 MEMBERS = "grp long, doc_id long, n long, diff array<long>, label long"
@@ -420,8 +420,8 @@ def links_within(differences: DataFrame) -> DataFrame:
         if not left or before is not None and 10 * left > 9 * before:
             break
         before, k = left, k + 1
-        near = members.join(small(pivots, CELLS * far), "grp").select("grp", "doc_id", "n", "diff", "label", "p", "p_n", "p_diff").mapInArrow(lean(_nearness), MEMBERS + ", p long, is_p boolean, near boolean")
-        near = written(near.join(members.select("grp", "doc_id", "row"), ["grp", "doc_id"]), "jaccard-near")
+        near = members.join(small(pivots, CELLS * far), "grp").select("grp", "doc_id", "n", "diff", "label", "p", "p_n", "p_diff", "row")
+        near = written(near.mapInArrow(lean(_nearness), MEMBERS + ", p long, is_p boolean, near boolean, row boolean"), "jaccard-near")
         edges.append(near.filter("is_p AND doc_id <> p").select(F.col("doc_id").alias("a"), F.col("p").alias("b")))
         # balls of earlier leaders with a member that links to the new one are connected with it; the others' near members are compared
         touched = small(written(near.filter("is_p AND NOT row").select("grp", F.col("label").alias("t")).distinct(), "jaccard-touched"))
